@@ -68,7 +68,7 @@ def build_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     has_columns(labelled, key, text, lang)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.pmod(F.xxhash64(F.lit("profile"), F.coalesce("key", F.lit(""))), F.lit(1_000_000)) * F.col("rows") < F.lit(1_000_000) * rows_per_language
+    share = F.pmod(F.xxhash64(F.lit("profile"), F.coalesce("key", F.lit(""))), F.lit(1_000_000)) < F.lit(1_000_000.0 * rows_per_language) / F.col("rows")
     chosen = rows.join(F.broadcast(sizes), "lang").where(share)  # a row for each language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

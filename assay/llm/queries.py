@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import language_id, line_dedup, packing, secrets, sharding, simhash
+from assay.functions.ship import ship
+from assay.llm import embedding_dedup, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,11 +52,38 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), runs.alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "toxic")
+    taught = docs.join(F.broadcast(toxicity.bounded(labels)), "doc_id")  # 20,000 rows or so at most
+    found = toxicity.score(docs, toxicity.train(taught))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_unigram.encode(docs, model).withColumn("n_ids", F.size("ids").cast("long")).withColumn("ids_crc32", F.crc32(F.array_join("ids", ",").cast("binary")))
+    back = sentencepiece_unigram.decode(coded, model)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(sharding.describe(table(spark, sf_dir, "documents")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", flac.payload_column("text").alias("content"))
+    return flac.read_back(flac.encode(docs))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
+    "op8_flac": op8_flac,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
 }
 
