@@ -117,3 +117,16 @@ def redact(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """docs with every secret in text replaced; texts without any stay as they are, null too.  Scans what the ledger lacks."""
+    columns = docs.columns
+    fresh = scan_new(docs, ledger, text)
+    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rules") == RULES_VERSION).select("blob", "rules", "spans"))
+    dirty = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), address(text).alias("_at"))
+    joined = rows.join(dirty.hint("shuffle_hash"), F.col("_at") == F.col("_blob"), "left")
+    whole = F.col("_row").getField(text)
+    clean = F.when(F.col("_spans").isNotNull(), redact(whole, F.col("_spans"))).otherwise(whole)
+    return joined.select(*[(clean if c == text else F.col("_row").getField(c)).alias(c) for c in columns])
