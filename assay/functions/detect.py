@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.binary import binary_kind
 from assay.functions.registry import HEAD, KINDS, UNKNOWN
-from assay.functions.text import head_text, text_kind
+from assay.functions.text import head_text, left_trimmed, markup_prolog, text_kind
 
 DETECTED = "struct<mime:string,extensions:array<string>,description:string,category:string>"
 
@@ -34,7 +34,9 @@ def with_kind(payloads: DataFrame, content: str = "content", to: str = "kind", c
     by_bytes = payloads.withColumn("_bytes", binary_kind(body, **inside)).drop("_zip", "_ole", "_gzip")
     # the text of rows that bytes have settled is not looked at
     text = by_bytes.withColumn("_text", F.when(F.col("_bytes").isNull() & (F.octet_length(body) > 0), head_text(F.substring(body, 1, HEAD))))
-    return text.withColumn(to, F.coalesce("_bytes", text_kind(F.col("_text")))).drop("_bytes", "_text")
+    # a column of its own, so that it is worked out once
+    parsed = text.withColumn("_prolog", F.when(left_trimmed(F.col("_text")).startswith("<"), markup_prolog(F.col("_text"))))
+    return parsed.withColumn(to, F.coalesce("_bytes", text_kind(F.col("_text"), F.col("_prolog")))).drop("_bytes", "_text", "_prolog")
 
 
 def detect(payloads: DataFrame, content: str = "content", containers: bool = True) -> DataFrame:

@@ -57,6 +57,11 @@ def finding(when: Column, code, severity, message, detail: dict[str, Column] | N
     return F.when(when, F.struct(*fields).cast(FINDING))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def findings(*each: Column) -> Column:
     """The findings that are there, in this order."""
     return F.filter(F.array(*each), lambda f: f.isNotNull())

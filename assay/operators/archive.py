@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assay.functions.durable import durable
 from assay.functions.paths import nested_archive, unsafe_link, unsafe_member
 from assay.functions.values import CRITICAL, FINDING, HIGH, LOW, MEDIUM, any_of, finding
 
@@ -487,6 +488,6 @@ def _level(rows: DataFrame, below: DataFrame | None, depth: int, limits: Archive
 
 def inspect(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content") -> DataFrame:  # noqa: B008
     """(payload_id, archive, archive_findings) of the payloads that have an archive kind."""
-    return reports(entries(payloads, limits, key, kind, content), limits)
+    return reports(durable(entries(payloads, limits, key, kind, content)), limits)
 
 
