@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assay.functions.values import CRITICAL, HIGH, INFO, LOW, MEDIUM, any_of, finding, findings, latin, no_findings
+from assay.functions.values import CRITICAL, HIGH, INFO, LOW, MEDIUM, any_of, finding, findings, latin, let, no_findings
 
 
 class Marker(NamedTuple):
@@ -58,14 +58,10 @@ TAIL = 64 * 1024
 
 def offset_of(text: Column, marker: Marker) -> Column:
     """The 0-based offset of the first match that counts, or null."""
-    literal = re.sub(r"\\x([0-9a-f]{2})", lambda m: chr(int(m[1], 16)), marker.pattern)
     if marker.first:  # these are plain byte strings
-        at = F.locate(literal, text, marker.first + 1)
-    elif marker.pattern.startswith("(?i)"):
-        # what stands before the first match has no match
-        at = F.when(text.rlike(marker.pattern), F.length(F.regexp_extract(text, f"(?s)^(.*?){marker.pattern}", 1)) + 1).otherwise(0)
+        at = F.locate(re.sub(r"\\x([0-9a-f]{2})", lambda m: chr(int(m[1], 16)), marker.pattern), text, marker.first + 1)
     else:
-        at = F.instr(text, literal)
+        at = F.regexp_instr(text, F.lit(marker.pattern))
     return F.when(at > 0, at - 1)
 
 
@@ -78,37 +74,29 @@ def scanned(detected: Column) -> Column:
 
 def embedded(content: Column, detected: Column, limit: int = 1 << 20, markers: list[str] | None = None) -> Column:
     """array<finding> of markers in the first `limit` bytes; markers: names to look for in place of the category's."""
-    text = latin(F.substring(content, 1, limit))
-    category, mime = detected["category"], detected["mime"]
-    known = list(CATEGORY_MARKERS)
-    order = list(dict.fromkeys(n for names in CATEGORY_MARKERS.values() for n in names)) if markers is None else markers
+    mime, description = detected["mime"], detected["description"]
 
-    def one(name: str, wanted: Column) -> Column:
+    def one(text: Column, name: str) -> Column:
         marker, own = MARKERS[name], {"pdf": "application/pdf", "svg": "image/svg+xml"}.get(name, "text/html" if name.startswith("html") else "")
-        at = F.when(scanned(detected) & wanted & (mime != own), offset_of(text, marker))
-        return finding(at.isNotNull(), f"polyglot.embedded_{name}", marker.severity, F.format_string(f"{name.upper().replace('_', ' ')} inside %s at offset %d", detected["description"], at), {"offset": at, "marker": F.lit(name)})
-
-    if markers is not None:
-        return findings(*[one(n, F.lit(True)) for n in order])
-
-    # each category has its own order of findings
-    def for_category(names: list[str], here: Column) -> Column:
-        return findings(*[one(n, here) for n in names])
-
-    groups: dict[tuple, list[str]] = {}
-    for c in known:
-        groups.setdefault(tuple(CATEGORY_MARKERS[c]), []).append(c)
-    out = None
-    for names, categories in groups.items():
-        here = category.isin(*categories) if "unknown" not in categories else F.lit(True)
-        branch = for_category(list(names), here)
-        if out is None:
-            out = F.when(here, branch)
-        elif "unknown" in categories:
-            last = branch
-        else:
-            out = out.when(here, branch)
-    return F.when(scanned(detected), out.otherwise(last)).otherwise(no_findings())
+        told = lambda at: finding(at.isNotNull(), f"polyglot.embedded_{name}", marker.severity, F.format_string(f"{name.upper().replace('_', ' ')} inside %s at offset %d", description, at), {"offset": at, "marker": F.lit(name)})
+        return let(F.when(mime != own, offset_of(text, marker)), told)
+
+    def in_order(text: Column) -> Column:
+        if markers is not None:
+            return findings(*[one(text, n) for n in markers])
+        groups: dict[tuple, list[str]] = {}
+        for category, names in CATEGORY_MARKERS.items():
+            groups.setdefault(tuple(names), []).append(category)
+        out = None
+        for names, categories in groups.items():
+            found = findings(*[one(text, n) for n in names])
+            if "unknown" in categories:  # and any category that has no list
+                return out.otherwise(found)
+            here = detected["category"].isin(*categories)
+            out = F.when(here, found) if out is None else out.when(here, found)
+        return out
+
+    return F.when(scanned(detected), let(latin(F.substring(content, 1, limit)), in_order)).otherwise(no_findings())
 
 
 def _after_last(tail: Column, mark: str) -> Column:
@@ -120,21 +108,26 @@ def _after_last(tail: Column, mark: str) -> Column:
 def trailing(content: Column, detected: Column, size: Column | None = None, tail_size: int = TAIL) -> Column:
     """array<finding> about bytes after the end of a PNG, JPEG, GIF or PDF."""
     size = F.octet_length(content) if size is None else size
-    tail = latin(F.substring(content, F.greatest(F.lit(1), size - (tail_size - 1)).cast("int"), F.lit(tail_size)))
-    mime, n = detected["mime"], F.length(tail)
+    mime = detected["mime"]
     png, jpeg, gif, pdf = (mime == m for m in ("image/png", "image/jpeg", "image/gif", "application/pdf"))
-    unpadded = F.regexp_replace(tail, "[\\x00\\xff\\n\\r\\t ]+\\z", "")
-    clean = (png & tail.endswith(PNG_END)) | (jpeg & unpadded.endswith(JPEG_END) & (n - F.length(unpadded) <= 64)) | (gif & tail.endswith(";")) | (pdf & F.regexp_replace(tail, "[\\r\\n\\t \\x00]+\\z", "").endswith(PDF_END))
-    after = F.when(png, _after_last(tail, PNG_END)).when(jpeg, _after_last(tail, JPEG_END)).when(gif, _after_last(tail, "\x00;")).when(pdf, _after_last(tail, PDF_END))
-    here = any_of([png, jpeg, gif, pdf]) & (size > 0) & ~clean
-    rest = F.substring(tail, n - after + 1, after)
-    readable = F.substring(rest, 1, 256).rlike("^[\\x20-\\x7e\\t\\n\\r]*\\z") & (after > 8)
-    small_pdf = pdf & (after < 1024)
-    return findings(
-        finding(here & pdf & after.isNull(), "polyglot.no_eof_marker", LOW, "the PDF has no end mark"),
-        finding(here & ~pdf & after.isNull(), "polyglot.missing_eof", LOW, F.format_string("%s without an end mark in its last %d bytes", detected["description"], n), {"tail_scanned": n}),
-        finding(here & small_pdf, "polyglot.trailing_data", INFO, F.format_string("%d bytes after the last end mark", after), {"trailing_bytes": after}),
-        finding(here & ~small_pdf & (after > 0), "polyglot.trailing_data", F.when(readable, HIGH).otherwise(MEDIUM), F.format_string("%d bytes after the end of the %s", after, detected["description"]), {"trailing_bytes": after, "preview": F.substring(rest, 1, 32)}),
-    )
-
+    tail = latin(F.substring(content, F.greatest(F.lit(1), size - (tail_size - 1)).cast("int"), F.lit(tail_size)))
 
+    def about(tail: Column) -> Column:
+        n = F.length(tail)
+        padding = F.length(tail) - F.length(F.rtrim(tail, F.lit("\x00\xff\n\r\t ")))
+        clean = (png & tail.endswith(PNG_END)) | (jpeg & F.rtrim(tail, F.lit("\x00\xff\n\r\t ")).endswith(JPEG_END) & (padding <= 64)) | (gif & tail.endswith(";")) | (pdf & F.rtrim(tail, F.lit("\r\n\t \x00")).endswith(PDF_END))
+        after = F.when(png, _after_last(tail, PNG_END)).when(jpeg, _after_last(tail, JPEG_END)).when(gif, _after_last(tail, "\x00;")).when(pdf, _after_last(tail, PDF_END))
+        return let(F.struct(after.alias("after"), clean.alias("clean")), lambda x: told(tail, n, x["after"], ~x["clean"]))
+
+    def told(tail: Column, n: Column, after: Column, here: Column) -> Column:
+        rest = F.substring(tail, n - after + 1, after)
+        readable = F.substring(rest, 1, 256).rlike("^[\\x20-\\x7e\\t\\n\\r]*\\z") & (after > 8)
+        small_pdf = pdf & (after < 1024)
+        return findings(
+            finding(here & pdf & after.isNull(), "polyglot.no_eof_marker", LOW, "the PDF has no end mark"),
+            finding(here & ~pdf & after.isNull(), "polyglot.missing_eof", LOW, F.format_string("%s without an end mark in its last %d bytes", detected["description"], n), {"tail_scanned": n}),
+            finding(here & small_pdf, "polyglot.trailing_data", INFO, F.format_string("%d bytes after the last end mark", after), {"trailing_bytes": after}),
+            finding(here & ~small_pdf & (after > 0), "polyglot.trailing_data", F.when(readable, HIGH).otherwise(MEDIUM), F.format_string("%d bytes after the end of the %s", after, detected["description"]), {"trailing_bytes": after, "preview": F.substring(rest, 1, 32)}),
+        )
+
+    return F.when(any_of([png, jpeg, gif, pdf]) & (size > 0), let(tail, about)).otherwise(no_findings())
