@@ -62,6 +62,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(value: Column) -> Column:
+    """value, behind a condition that always holds but is not deterministic to the optimizer.
+
+    Filters on a column that is held are not pushed below it; pushed down, a filter repeats
+    the whole expression, and every expression that this one refers to, once for each use.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def findings(*each: Column) -> Column:
     """The findings that are there, in this order."""
     return F.filter(F.array(*each), lambda f: f.isNotNull())

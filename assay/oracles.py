@@ -18,8 +18,7 @@ def _aliased(x: str) -> str:
 
 
 _EXT = "'^[A-Za-z0-9][A-Za-z0-9_\\-+~]{0,15}\\n?$'"
-_CUT = f"""
-    u AS ({derived.UPLOADS_SQL}),
+_PARTED = f"""
     b AS (SELECT *, replace(filename, '\\', '/') AS normal, string_split(replace(filename, '\\', '/'), '/')[-1] AS base FROM u),
     n AS (SELECT *, rtrim(base, '. ') AS name FROM b),
     p AS (SELECT *, lower(string_split(name, '.')[-1]) AS last FROM n),
@@ -27,6 +26,7 @@ _CUT = f"""
     c AS (SELECT *, CASE WHEN has THEN last END AS extension, CASE WHEN has THEN substr(name, 1, length(name) - length(last) - 1) ELSE name END AS stem,
                  list_transform(list_filter(string_split(ltrim(name, '.'), '.')[2:], lambda x: regexp_matches(x, {_EXT})), lambda x: lower(x)) AS suffixes FROM q),
     d AS (SELECT *, {_aliased("extension")} AS usual, list_transform(suffixes[:len(suffixes) - 1], lambda x: {_aliased("x")}) AS inner_ones FROM c)"""
+_CUT = f"u AS ({derived.UPLOADS_SQL}), {_PARTED}"
 _DANGEROUS = _list({registry.canonical(e) for e in names.DANGEROUS_EXTENSIONS})
 _KNOWN = _list(registry.known_extensions())
 _CODES = f"""concat_ws(',',
@@ -279,12 +279,14 @@ _SAFE = f"""
     SELECT k, CASE WHEN n = '' THEN 'upload' ELSE (CASE WHEN length(safe) > 255 - length(suffix) THEN rtrim(left(safe, 255 - length(suffix)), '. ') ELSE safe END) || suffix END AS safe FROM f"""
 
 _PAGES = f"""
-    WITH p AS (SELECT page_id AS k, html, regexp_extract(url, '([^/?]*)(\\?.*)?$', 1) AS stem, {derived.sql_case("page_id", ["'.html'", "'.htm'", "'.png'", "''", "'.php.html'", "'.txt'"])} AS e, {derived.sql_case("page_id", ["'text/html'", "'text/plain'", "'image/png'", "''"])} AS declared FROM pages),
-    -- every page is HTML, and its last path part is a number
-    f AS (SELECT k, concat_ws(',', CASE WHEN octet_length(encode(html)) = 0 THEN 'size.empty:30' END, CASE WHEN e = '' THEN 'extension.missing:30' END, CASE WHEN e = '.php.html' THEN 'filename.double_extension:20' END,
-                CASE WHEN e IN ('.png', '.txt') THEN 'extension.mismatch:30' END, CASE WHEN declared = 'image/png' THEN 'content_type.mismatch:10' END) AS codes FROM p),
-    l AS (SELECT k, codes, list_filter(string_split(codes, ','), lambda x: x <> '') AS each FROM f),
-    v AS (SELECT *, list_filter(each, lambda x: string_split(x, ':')[2]::INT >= 20) AS errors FROM l)"""
+    WITH u AS (SELECT page_id AS k, html, regexp_extract(url, '([^/?]*)(\\?.*)?$', 1) || {derived.sql_case("page_id", ["'.html'", "'.htm'", "'.png'", "''", "'.php.html'", "'.txt'"])} AS filename, {derived.sql_case("page_id", ["'text/html'", "'text/plain'", "'image/png'", "''"])} AS declared FROM pages),
+    {_PARTED},
+    named AS (SELECT *, CASE WHEN filename = '' THEN 'filename.empty:30' ELSE replace({_CODES}, 'filename.no_extension:0', 'extension.missing:30') END AS found FROM d),
+    -- every page is HTML
+    f AS (SELECT k, concat_ws(',', CASE WHEN octet_length(encode(html)) = 0 THEN 'size.empty:30' END, found, CASE WHEN usual NOT IN {_list({registry.canonical(e) for e in registry.KINDS["HTML"].extensions})} THEN 'extension.mismatch:30' END,
+                CASE WHEN declared = 'image/png' THEN 'content_type.mismatch:10' END) AS codes FROM named),
+    l AS (SELECT k, list_filter(string_split(codes, ','), lambda x: x <> '' AND x <> 'filename.browser_active:20') AS each FROM f),
+    v AS (SELECT *, array_to_string(each, ',') AS codes, list_filter(each, lambda x: string_split(x, ':')[2]::INT >= 20) AS errors FROM l)"""
 
 ORACLES: dict[str, str] = {
     "filename_findings": f"WITH {_CUT} SELECT k, {_CODES} AS codes FROM d",
@@ -322,7 +324,7 @@ ORACLES: dict[str, str] = {
     "zip_overlaps": f"WITH l AS ({derived.LISTING_SQL}), o AS (SELECT archive, lead(header_offset) OVER (PARTITION BY archive ORDER BY header_offset, idx) AS n, header_offset + 30 + name_bytes + packed AS e FROM l) SELECT DISTINCT archive FROM o WHERE n < e",
     "archive_running_budget": f"WITH l AS ({derived.LISTING_SQL}), r AS (SELECT archive, size, sum(size) OVER (PARTITION BY archive ORDER BY idx) AS t FROM l) SELECT archive, count(*) AS entries, max(t)::BIGINT AS total, bool_or(t > 100000) AS truncated FROM r WHERE t - size <= 100000 GROUP BY archive",
     "archive_first_entries": f"SELECT archive, sum(size)::BIGINT AS size FROM ({derived.LISTING_SQL}) WHERE idx < 3 GROUP BY archive",
-    "archive_ratios": f"SELECT archive, round(CASE WHEN sum(packed) <= 0 THEN CASE WHEN sum(size) > 0 THEN 'Infinity'::DOUBLE ELSE 0.0 END ELSE sum(size)::DOUBLE / sum(packed) END, 6) AS ratio, coalesce(sum(size)::DOUBLE / nullif(sum(packed), 0), 'Infinity'::DOUBLE) > 15 AS bomb FROM ({derived.LISTING_SQL}) GROUP BY archive",
+    "archive_ratios": f"SELECT archive, CASE WHEN sum(packed) <= 0 THEN CASE WHEN sum(size) > 0 THEN 'Infinity'::DOUBLE ELSE 0.0 END ELSE sum(size)::DOUBLE / sum(packed) END AS ratio, coalesce(sum(size)::DOUBLE / nullif(sum(packed), 0), 'Infinity'::DOUBLE) > 15 AS bomb FROM ({derived.LISTING_SQL}) GROUP BY archive",
     "archive_rollup": f"SELECT archive, count(*) AS entry_count, sum(size)::BIGINT AS total_uncompressed, sum(packed)::BIGINT AS total_compressed, count(*) FILTER (packed % 2 = 1) AS encrypted FROM ({derived.LISTING_SQL}) GROUP BY archive",
     "page_verdicts": f"{_PAGES} SELECT k, len(errors) = 0 AS ok, codes, list_max(list_transform(each, lambda x: string_split(x, ':')[2]::INT)) AS highest, array_to_string(errors, ',') AS errors, (len(each) - len(errors))::INT AS warnings FROM v",
     "http_statuses": f"{_PAGES} SELECT CASE WHEN len(list_filter(errors, lambda x: starts_with(x, 'size.'))) > 0 THEN 413 WHEN len(list_filter(errors, lambda x: regexp_matches(x, '^(type|extension|content_type)\\.'))) > 0 THEN 415 ELSE 422 END AS status, count(*) AS n FROM v WHERE len(errors) > 0 GROUP BY 1",

@@ -20,7 +20,7 @@ from assay.functions.durable import durable
 from assay.functions.names import GENERIC_CONTENT_TYPES, any_rule_matches, canonical_extension, compile_rules, content_type_compatible, extension_matches, file_extension, filename_findings, normalize_content_type, sanitize_filename
 from assay.functions.polyglot import embedded, trailing
 from assay.functions.registry import known_extensions
-from assay.functions.values import FINDING, HIGH, INFO, LOW, finding, findings, no_findings
+from assay.functions.values import FINDING, HIGH, INFO, LOW, finding, findings, held, no_findings
 from assay.operators.archive import Overflow, Unpacked, archive_kind
 from assay.operators.archive import inspect as inspect_archives
 from assay.operators.svg import sanitize_svg, scan_svg
@@ -178,7 +178,7 @@ def scan(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
 def scan_simple(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """scan() without a look into containers and without Unicode forms: one projection over the source."""
     rows = checked(payloads, policy, containers=False)
-    whole = rows.withColumn("findings", F.concat("_first", "_last")).withColumn("archive", F.lit(None).cast("string")).withColumn("sanitized", F.lit(None).cast("binary"))
+    whole = rows.withColumn("findings", held(F.concat("_first", "_last"))).withColumn("archive", F.lit(None).cast("string")).withColumn("sanitized", F.lit(None).cast("binary"))
     return _result(whole, policy, unicode_forms=False)
 
 
