@@ -35,7 +35,7 @@ from assay.llm.common import group_rank, has_columns, materialize, spread, text_
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words, and runs of letters, whose ids a worker process remembers before it starts anew.
+#: Distinct words whose ids a worker process remembers before the words of before that are forgotten; as many runs of letters.
 REMEMBERED = 600_000
 
 
@@ -45,7 +45,7 @@ class WordEncoder:
     The tokenizer lower-cases, drops white space and cuts words into runs of letters,
     single digits and runs of other signs, each encoded by itself.  So a text's ids are
     its words' ids in a row and a word's those of its runs.  Words and runs recur and are
-    remembered; new runs of a batch of texts are encoded in one call.  Words with
+    remembered; new runs of a batch of texts are encoded together.  Words with
     characters that other rules touch go to the tokenizer whole.
     """
 
@@ -58,21 +58,56 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        # what has been seen of late, and what was before that
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        cut = {w: [w] if self._other(w) else self._runs_of(w.lower()) for w in new}
-        unknown = list({r for runs in cut.values() for r in runs if r not in self.runs})
-        if len(self.runs) + len(unknown) > REMEMBERED:
-            self.runs = {}
-            unknown = list({r for runs in cut.values() for r in runs})
-        self.runs.update(zip(unknown, self._ids(unknown), strict=True))
-        for word, runs in cut.items():
-            self.words[word] = b"".join([self.runs[r] for r in runs])
+    def _ids_of_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of each run; many are encoded as one text and cut where words end."""
+        out = []
+        for i in range(0, len(runs), 512):
+            part = runs[i : i + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                out += self._ids(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, lookup, other, runs_of = self.words, self.old_words.get, self._other, self._runs_of
+        cut, whole = {}, []
+        for w in new:
+            ids = lookup(w)
+            if ids is not None:
+                known[w] = ids
+            elif w.isascii() and w.isalpha():
+                cut[w] = (w.lower(),)
+            elif other(w):
+                whole.append(w)
+            else:
+                cut[w] = runs_of(w.lower())
+        known.update(zip(whole, self._ids(whole), strict=True))
+        runs = self.runs
+        unknown = {r for own in cut.values() for r in own if r not in runs}
+        if len(runs) + len(unknown) > REMEMBERED:
+            runs = self.runs = {}
+            unknown = {r for own in cut.values() for r in own}
+        listed = list(unknown)
+        runs.update(zip(listed, self._ids_of_runs(listed), strict=True))
+        for w, own in cut.items():
+            known[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
@@ -81,12 +116,11 @@ class WordEncoder:
             new = set()
             for w in words:
                 new.update(w or ())
-            new.difference_update(self.words)
-            if len(self.words) + len(new) > REMEMBERED:
-                self.words = {}
-                new = {x for w in words for x in w or ()}
-            if new:
-                self._learn(new)
+            fresh = [w for w in new if w not in self.words]
+            if len(self.words) + len(fresh) > REMEMBERED:
+                self.words, self.old_words, fresh = {}, self.words, list(new)
+            if fresh:
+                self._learn(fresh)
             for w, text in zip(words, texts[i : i + 256], strict=True):
                 yield self._ids([text])[0] if w is None else b"".join(map(self.words.__getitem__, w))
 
