@@ -29,9 +29,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assay.llm.common import components, has_columns, materialize, text_or_empty
 
@@ -107,11 +106,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """(place, fp) for every row; place tells where a row stands: (null key, key, hash of the text), null keys last."""
+    has_columns(docs, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["place", "fp"])
+
+    return docs.select(place(key, text).alias("place"), text_or_empty(text).alias("text")).mapInArrow(run, f"place {PLACE}, fp long")
+
+
+PLACE = "struct<nokey:boolean,key:long,body:long>"
+
+
+def place(key: str, text: str) -> Column:
+    return F.struct(F.col(key).isNull().alias("nokey"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.xxhash64(text_or_empty(text)).alias("body"))
+
+
+def rows_at(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """places (column place, distinct) with _row: one row of docs for each; rows of one key and text are the same document."""
+    keys = ["nokey", "key", "body"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), place(key, text).alias("_place")).select("_row", *[F.col(f"_place.{k}").alias(k) for k in keys])
+    return rows.join(places.select(*[c for c in places.columns if c != "place"], "place.*"), keys).dropDuplicates(keys).drop(*keys)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest key (of repeated rows, one)."""
-    columns = docs.columns
-    found = near_duplicates(docs, key, text, width)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("component_id", F.lit(-1)).alias("_kept"), F.col("component_id").isNull().alias("_null")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_kept"), F.col(key).isNull().alias("_null"))
-    one = F.row_number().over(Window.partitionBy("_kept", "_null").orderBy("_kept"))
-    return rows.join(kept, ["_kept", "_null"]).withColumn("_n", one).where("_n = 1").select("_row.*")
+    """docs with one row of each component: that of the smallest key, null keys last, then of the least text hash."""
+    marked = materialize(marks(docs, key, text, width))
+    prints = materialize(marked.groupBy("fp").agg(F.min("place").alias("place")))
+    roots = components(links(prints))
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("place", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place")
+    return rows_at(docs, materialize(kept), key, text).select("_row.*")
