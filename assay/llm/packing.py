@@ -8,7 +8,8 @@ first, go into the sequence with the smallest gap that holds them, or open a new
 Which piece of a length goes where does not matter to the fill, so the packing is
 planned on the histogram of lengths (at most `capacity` numbers, whatever the corpus)
 and yields placements: so many pieces of a length, from a rank on, go to sequences from
-a number on, at an offset.  Pieces then get their rank within their length, taken in
+a number on, at an offset.  Sequences that are filled alike are one range, so the number
+of placements follows the distinct lengths, not the pieces.  Pieces then get their rank within their length, taken in
 cells so that no task holds all pieces of a common length, and look up their placement.
 
 Defined cases: null text is empty and gives the end id only; equal pieces are
@@ -173,12 +174,14 @@ class _Bins:
             self.gaps.remove(gap)
         return lo, hi
 
-    def place(self, length: int, lo: int, hi: int, gap: int) -> None:
-        """One piece of this length into each of [lo, hi), whose gap was `gap`."""
-        rank = self.ranks.get(length, 0)
-        self.placed.append((length, rank, hi - lo, lo, self.capacity - gap))
-        self.ranks[length] = rank + hi - lo
-        self.put(gap - length, lo, hi)
+    def place(self, length: int, lo: int, hi: int, gap: int, copies: int = 1) -> None:
+        """So many pieces of this length into each of [lo, hi), whose gap was `gap`."""
+        for _ in range(copies):
+            rank = self.ranks.get(length, 0)
+            self.placed.append((length, rank, hi - lo, lo, self.capacity - gap))
+            self.ranks[length] = rank + hi - lo
+            gap -= length
+        self.put(gap, lo, hi)
 
     def open(self, length: int, n: int) -> None:
         lo, self.next = self.next, self.next + n
@@ -219,14 +222,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     for length in sorted((n for n in left if 3 * n <= capacity), reverse=True):
         while left[length]:
             at = bisect_left(bins.gaps, length)
-            if at == len(bins.gaps):
-                bins.open(length, 1)
-                left[length] -= 1
-                continue
-            gap = bins.gaps[at]
-            lo, hi = bins.take(gap, left[length])
-            bins.place(length, lo, hi, gap)
-            left[length] -= hi - lo
+            gap = bins.gaps[at] if at < len(bins.gaps) else capacity
+            copies = min(gap // length, left[length])  # sequences are filled one after the other, as many at once as come out full
+            most = left[length] // copies
+            if at < len(bins.gaps):
+                lo, hi = bins.take(gap, most)
+            else:
+                lo, hi = bins.next, bins.next + most
+                bins.next = hi
+            bins.place(length, lo, hi, gap, copies)
+            left[length] -= copies * (hi - lo)
     return np.array(bins.placed, dtype=np.int64).reshape(-1, 5)
 
 
