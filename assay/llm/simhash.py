@@ -106,18 +106,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(place, fp) for every row; place tells where a row stands: (null key, key, hash of the text), null keys last."""
-    has_columns(docs, key, text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["place", "fp"])
-
-    return docs.select(place(key, text).alias("place"), text_or_empty(text).alias("text")).mapInArrow(run, f"place {PLACE}, fp long")
-
-
 PLACE = "struct<nokey:boolean,key:long,body:long>"
 
 
@@ -133,10 +121,15 @@ def rows_at(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest key, null keys last, then of the least text hash."""
-    marked = materialize(marks(docs, key, text, width))
+    """docs with one row of each component: that of the smallest key, null keys last, then of the least text hash.
+
+    Components are those of near_duplicates, joined where near_copies finds texts alike.
+    """
+    from assay.llm import near_copies
+
+    marked = materialize(near_copies.marks(docs, key, text, width))
     prints = materialize(marked.groupBy("fp").agg(F.min("place").alias("place")))
-    roots = components(links(prints))
+    roots = components(links(prints).unionByName(near_copies.links(docs, marked, key, text)))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("place", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place")
     return rows_at(docs, materialize(kept), key, text).select("_row.*")
