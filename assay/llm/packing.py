@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +36,27 @@ from assay.llm.common import group_rank, has_columns, materialize, spread, text_
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a worker process remembers before the words of before that are forgotten; as many runs of letters.
+#: Distinct runs whose ids a worker process remembers before the runs of before that are forgotten.
 REMEMBERED = 600_000
+#: Characters of text that are encoded together.
+TOGETHER = 1 << 23
 
 
 class WordEncoder:
-    """Ids (little-endian uint32 bytes) of whole texts, as the tokenizer file gives them.
+    """Ids of whole texts, as the tokenizer file gives them.
 
     The tokenizer lower-cases, drops white space and cuts words into runs of letters,
     single digits and runs of other signs, each encoded by itself.  So a text's ids are
-    its words' ids in a row and a word's those of its runs.  Words and runs recur and are
-    remembered; new runs of a batch of texts are encoded together.  Words with
-    characters that other rules touch go to the tokenizer whole.
+    its words' ids in a row and a word's those of its runs.  Arrow cuts texts into words
+    and the distinct words into runs; only distinct runs that are new go to the
+    tokenizer, together, and ids are put in a row by position.  Words with characters
+    that other rules touch go to the tokenizer whole.
     """
 
-    _runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-    _other = re.compile("[^\x20-\u012f\u0131-\u017f]|<\\|").search
+    _run = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    _other = r"[^\x20-\x{12f}\x{131}-\x{17f}]|<\|"
     _odd_space = re.compile("[\x1c-\x1f]").search
+    _whole = "\x1f"  # stands before words that are not cut; a word has no white space
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,9 +67,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         # what has been seen of late, and what was before that
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,44 +89,47 @@ class WordEncoder:
                 at = end
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        known, lookup, other, runs_of = self.words, self.old_words.get, self._other, self._runs_of
-        cut, whole = {}, []
-        for w in new:
-            ids = lookup(w)
-            if ids is not None:
-                known[w] = ids
-            elif w.isascii() and w.isalpha():
-                cut[w] = (w.lower(),)
-            elif other(w):
-                whole.append(w)
-            else:
-                cut[w] = runs_of(w.lower())
-        known.update(zip(whole, self._ids(whole), strict=True))
-        runs = self.runs
-        unknown = {r for own in cut.values() for r in own if r not in runs}
-        if len(runs) + len(unknown) > REMEMBERED:
-            runs = self.runs = {}
-            unknown = {r for own in cut.values() for r in own}
-        listed = list(unknown)
-        runs.update(zip(listed, self._ids_of_runs(listed), strict=True))
-        for w, own in cut.items():
-            known[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _learn(self, runs: list[str]) -> None:
+        if len(self.runs) + len(runs) > REMEMBERED:
+            self.runs, self.old_runs = {}, self.runs
+        known, old = self.runs, self.old_runs
+        unknown = [r for r in runs if r not in known]
+        known.update((r, old[r]) for r in unknown if r in old)
+        new = [r for r in unknown if r not in old]
+        for whole, encode in ((False, self._ids_of_runs), (True, self._ids)):
+            listed = [r for r in new if r.startswith(self._whole) == whole]
+            known.update(zip(listed, encode([r.removeprefix(self._whole) for r in listed]), strict=True))
+
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and where each word's begin, with the end of the last."""
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), self._run, r"\1 ")
+        units = pc.split_pattern(pc.if_else(pc.match_substring_regex(words, self._other), pc.binary_join_element_wise(self._whole, words, ""), cut), " ")
+        runs = units.flatten().dictionary_encode()
+        named = runs.dictionary.to_pylist()
+        self._learn(named)
+        ids = [self.runs[r] if r else b"" for r in named]
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+        return _gathered(np.frombuffer(b"".join(ids), "<u4"), starts, runs.indices.to_numpy(zero_copy_only=False), units.offsets.to_numpy())
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for i in range(0, len(texts), 256):
-            words = [None if self._odd_space(t) else t.split() for t in texts[i : i + 256]]
-            new = set()
-            for w in words:
-                new.update(w or ())
-            fresh = [w for w in new if w not in self.words]
-            if len(self.words) + len(fresh) > REMEMBERED:
-                self.words, self.old_words, fresh = {}, self.words, list(new)
-            if fresh:
-                self._learn(fresh)
-            for w, text in zip(words, texts[i : i + 256], strict=True):
-                yield self._ids([text])[0] if w is None else b"".join(map(self.words.__getitem__, w))
+        odd = {i: t for i, t in enumerate(texts.to_pylist()) if self._odd_space(t)}
+        words = pc.utf8_split_whitespace(texts)
+        named = words.flatten().dictionary_encode()
+        ids, starts = self._ids_of_words(named.dictionary)
+        ids, starts = _gathered(ids, starts, named.indices.to_numpy(zero_copy_only=False), words.offsets.to_numpy())
+        for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
+            yield np.frombuffer(self._ids([odd[i]])[0], "<u4") if i in odd else ids[a:b]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, wanted: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted stretches of flat (stretch i begins at starts[i]) in a row, and where each group of stretches begins, with the end of the last."""
+    wanted = wanted[groups[0] : groups[-1]]
+    size = (starts[1:] - starts[:-1])[wanted]
+    ends = np.concatenate(([0], np.cumsum(size)))
+    at = np.repeat(starts[:-1][wanted] - ends[:-1], size)
+    at += np.arange(len(at))
+    return flat[at], ends[groups - groups[0]]
 
 
 @functools.cache
@@ -132,19 +138,31 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch, column: int, size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of the column, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     has_columns(docs, key, text)
-    end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
         for batch in batches:
-            out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                out += [(doc, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i, part in enumerate(ids[a : a + width] for a in range(0, len(ids), width))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in _slices(batch, 1):
+                out = []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    n, data = len(ids) + 1, ids.tobytes() + end.tobytes()
+                    out += [(doc, i, a, min(capacity, n - a), zlib.crc32(data[4 * a : 4 * (a + capacity)])) for i, a in enumerate(range(0, n, capacity))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
