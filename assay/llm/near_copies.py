@@ -5,9 +5,14 @@ of 125 least hashes (MinHash): a pair at 0.8 shares none of the 25 bands with
 probability 0.00005.  Candidates are then compared on the whole sets of their shingles'
 hashes, so no link is below the bound.
 
-A band of more than `bucket` texts would give all their pairs.  Its texts are compared
-with four of them instead, each the one of a hashed quarter that has most company in
+A band of more than `bucket` texts would give all their pairs.  Its texts are first
+compared with four of them, each the one of a hashed quarter that has most company in
 its bands, as the text that the others are made from has; each band deals quarters anew.
+What is joined by then need not be compared again.  Of a crowded band whose texts are
+still in several components, those outside the largest are compared exactly with all the
+others, in tiles of a bounded size that report joined components and never pairs.  So
+components are those of all candidate pairs, at a cost that follows a band's size times
+the texts outside its largest component.
 
 Defined cases: texts equal up to case and white space are one text; a text of up to
 five words is one shingle.
@@ -18,18 +23,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import simhash
-from assay.llm.common import materialize, text_or_empty
+from assay.llm.common import components, materialize, text_or_empty
 
 WIDTH, BANDS, BAND_ROWS = 5, 25, 5
 BUCKET, QUARTERS = 16, 4
 #: Parts that the pairs of one text with very many others are dealt to.
 PARTS = 256
+#: Texts, and shingles, that one side of a tile holds at most (a text of more shingles is a side of its own).
+TILE, TILE_SHINGLES = 512, 1 << 21
 _CHUNK = 1 << 10
 _MARKS = f"place {simhash.PLACE}, fp long, tid long, size int, bands array<long>"
 
@@ -90,11 +98,20 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tid long, set array<long>")
 
 
-def candidates(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) tids of pairs to compare; a text is `a` in a bounded number of them."""
+def distinct_texts(marked: DataFrame) -> DataFrame:
+    """(tid, fp, place, size, bands): one row for each text of marked."""
+    return marked.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+
+
+def shared_bands(texts: DataFrame) -> DataFrame:
+    """(band, tid, size, entries) of bands with several texts."""
     own = texts.select("tid", "size", F.explode("bands").alias("band"))
     table = own.groupBy("band").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
-    hits = materialize(own.join(table.hint("shuffle_hash"), "band"))
+    return own.join(table.hint("shuffle_hash"), "band")
+
+
+def candidates(hits: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) tids of pairs to compare first: all of small bands, of crowded ones some; a text is `a` in a bounded number of them."""
     few = hits.where(F.col("entries") <= bucket)
     other = few.select("band", F.col("tid").alias("b"), F.col("size").alias("b_size"))
     pairs = few.withColumnRenamed("tid", "a").join(other, "band").where("a < b")
@@ -108,15 +125,78 @@ def candidates(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.select("a", "b", "size", "b_size").unionByName(stars.select("a", "b", "size", "b_size")).where(alike).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(a, b): fingerprints of texts that are near copies."""
-    texts = materialize(marked.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("bands").alias("bands")))
-    pairs = materialize(candidates(texts, bucket).withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    held = simhash.rows_at(docs, texts.join(wanted, "tid").select("tid", "place"), key, text)
-    sets = materialize(_sets(held.select("tid", text_or_empty(f"_row.{text}").alias("text"))).join(texts.select("tid", "fp"), "tid"))
+def shingle_sets(docs: DataFrame, texts: DataFrame, hits: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(tid, set, fp) of the texts that share a band."""
+    held = simhash.rows_at(docs, texts.join(hits.select("tid").distinct(), "tid").select("tid", "place"), key, text)
+    return _sets(held.select("tid", text_or_empty(f"_row.{text}").alias("text"))).join(texts.select("tid", "fp"), "tid")
+
+
+def links(hits: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): fingerprints of candidates that are near copies."""
+    pairs = materialize(candidates(hits, bucket).withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))))
     # a text that very many are compared with is copied to the parts that need it
     copied = pairs.select("b", "part").distinct().join(sets.toDF("b", "b_set", "b_fp"), "b")
     both = pairs.join(copied, ["b", "part"]).join(sets.toDF("a", "a_set", "a_fp"), "a")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.withColumn("shared", shared).where("5 * shared >= 4 * (size(a_set) + size(b_set) - shared)").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a != b").distinct()
+
+
+def strays(hits: DataFrame, fps: DataFrame, roots: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(band, tid, root, away, rows, cols): members of crowded bands with several components.
+
+    roots(node, root) has the components so far by fingerprint, fps(tid, fp) the texts'
+    fingerprints.  away: outside the band's largest component; rows, cols: tiles that the
+    away ones, and all, are cut into.
+    """
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("tid", F.coalesce("root", "fp").alias("root"))
+    rooted = hits.where(F.col("entries") > bucket).join(named, "tid")
+    shares = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    bands_of = shares.groupBy("band").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("home"), F.max("size").alias("longest"))
+    per = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.col("longest"))))
+    tiles = lambda n: F.ceil(n / per).cast("int")
+    cut = materialize(bands_of.where("parts > 1").select("band", F.col("home.root").alias("home"), tiles(F.col("members") - F.col("home.n")).alias("rows"), tiles(F.col("members")).alias("cols")))
+    return rooted.join(cut, "band").select("band", "tid", "root", (F.col("root") != F.col("home")).alias("away"), "rows", "cols")
+
+
+def _tile(group: pd.DataFrame) -> pd.DataFrame:
+    """Components (a, b) of one tile that are joined by a pair of an away text and another: each with the least that it reaches here."""
+    away = group["away"].to_numpy()
+    sets, root, size = group["set"].to_numpy(), group["root"].to_numpy(), group["set"].map(len).to_numpy()
+    named, at = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(at) > 1
+    column = np.cumsum(often) - 1  # shingles of one text only are shared with none
+    text = np.repeat(np.arange(len(size)), size)
+    text, at = text[often[at]], column[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    text, at = text[order], at[order]
+    a, b = np.flatnonzero(away), np.flatnonzero(~away)
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for i in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(at, (i, i + 4096))
+        flags = np.zeros((len(size), 4096), np.float32)
+        flags[text[lo:hi], at[lo:hi] - i] = 1
+        shared += flags[a] @ flags[b].T
+    shared = np.rint(shared).astype(np.int64)
+    i, j = np.nonzero((5 * shared >= 4 * (size[a][:, None] + size[b][None, :] - shared)) & (root[a][:, None] != root[b][None, :]))
+    ends = np.unique(np.stack((np.minimum(root[a][i], root[b][j]), np.maximum(root[a][i], root[b][j])), axis=1), axis=0)
+    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+
+def rest(hits: DataFrame, sets: DataFrame, roots: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): components of roots that crowded bands join further; every pair of a band that roots leaves apart is compared."""
+    members = materialize(strays(hits, sets.select("tid", "fp"), roots, bucket))
+    mine = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = members.where("away").select("band", "tid", "root", "away", mine("rows").alias("row"), every("cols").alias("col"))
+    cols = members.select("band", "tid", "root", F.lit(False).alias("away"), every("rows").alias("row"), mine("cols").alias("col"))
+    placed = rows.unionByName(cols).join(sets.select("tid", "set"), "tid")
+    return placed.groupBy("band", "row", "col").applyInPandas(_tile, "a long, b long").distinct()
+
+
+def joined(docs: DataFrame, marked: DataFrame, links_so_far: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(node, root): components of fingerprints that links_so_far(a, b) and near copies among docs join; marked as marks() gives it, written."""
+    texts = materialize(distinct_texts(marked))
+    hits = materialize(shared_bands(texts))
+    sets = materialize(shingle_sets(docs, texts, hits, key, text))
+    first = materialize(components(links_so_far.unionByName(links(hits, sets, bucket))))
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest(hits, sets, first, bucket)))

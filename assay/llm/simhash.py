@@ -129,7 +129,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     marked = materialize(near_copies.marks(docs, key, text, width))
     prints = materialize(marked.groupBy("fp").agg(F.min("place").alias("place")))
-    roots = components(links(prints).unionByName(near_copies.links(docs, marked, key, text)))
+    roots = near_copies.joined(docs, marked, links(prints), key, text)
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("place", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place")
     return rows_at(docs, materialize(kept), key, text).select("_row.*")

@@ -50,6 +50,35 @@ def test_links_are_near_copies_only(spark):
     texts = made(random.Random(7))
     sets = {plain(t): plain_set(t) for t in texts}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = near_copies.links(df, near_copies.marks(df)).collect()
+    distinct = near_copies.distinct_texts(near_copies.marks(df))
+    hits = near_copies.shared_bands(distinct)
+    found = near_copies.links(hits, near_copies.shingle_sets(df, distinct, hits)).collect()
     assert found and all(alike(sets[r["a"] % (1 << 64)], sets[r["b"] % (1 << 64)]) for r in found)
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_no_link_of_a_crowded_band_is_lost(spark, monkeypatch):
+    """Many texts about one passage: most are too far apart, some pairs are alike, and no text is like all."""
+    rng = random.Random(11)
+    passage = prose(rng, "en", 150)
+    texts = []
+    for _ in range(120):
+        base = passage + " " + prose(rng, "en", 30)
+        texts.append(base)
+        if rng.random() < 0.4:
+            texts.append(changed(rng, base, 2))
+    rng.shuffle(texts)
+    sets = [plain_set(t) for t in texts]
+    root = roots(range(len(texts)), lambda i, j: alike(sets[i], sets[j]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marked = near_copies.marks(df).cache()
+    hits = near_copies.shared_bands(near_copies.distinct_texts(marked))
+    assert hits.where("entries > 16").count() > 0
+    alone = spark.createDataFrame([], "a long, b long")
+    at = {r["place"]["key"]: r["fp"] for r in marked.collect()}
+    for bucket, shingles in ((16, near_copies.TILE_SHINGLES), (4, 5_000)):  # one tile, then tiles of about 25 texts
+        monkeypatch.setattr(near_copies, "TILE_SHINGLES", shingles)
+        by = {r["node"]: r["root"] for r in near_copies.joined(df, marked, alone, bucket=bucket).collect()}
+        mine = {i: by.get(fp, fp) for i, fp in at.items()}
+        assert len(set(mine.values())) == len(set(root.values()))
+        assert all((mine[i] == mine[j]) == (root[i] == root[j]) for i in mine for j in mine)

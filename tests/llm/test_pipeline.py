@@ -4,7 +4,6 @@ import shutil
 import subprocess
 import sys
 import zlib
-from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +13,7 @@ import corpus_pipeline
 from assay.llm import language_id
 from assay.llm.common import materialize
 from tests.llm.test_line_dedup import plain as plain_lines
+from tests.llm.test_near_copies import alike, plain_set
 from tests.llm.test_secrets import spans
 from tests.llm.test_simhash import near, plain, roots
 
@@ -45,12 +45,14 @@ def test_each_stage_against_a_plain_one(spark, docs, sf_dir):
 
     single = materialize(stages["simhash_dedup"](spark, lines, sf_dir))
     assert single.columns == docs.columns
-    prints = {k: plain(t) for k, t in keyed(lines) if k is not None}
-    root = roots(set(prints.values()), near)
-    least = defaultdict(lambda: 1 << 60)
-    for k, fp in prints.items():
-        least[root[fp]] = min(least[root[fp]], k)
-    assert {k for k, _ in keyed(single) if k is not None} == set(least.values())
+    # one document of each component of near fingerprints and of five-word shingles' similarity of 0.8: the least key, null keys last
+    texts = keyed(lines)
+    prints, sets = [plain(t) for _, t in texts], [plain_set(t) for _, t in texts]
+    root = roots(range(len(texts)), lambda i, j: near(prints[i], prints[j]) or alike(sets[i], sets[j]))
+    least = {}
+    for i, (k, _) in enumerate(texts):
+        least[root[i]] = min(least.get(root[i], (True, 0)), (k is None, k or 0))
+    assert sorted((k is None, k or 0) for k, _ in keyed(single)) == sorted(least.values())
 
     clean = materialize(stages["secret_scan"](spark, single, sf_dir))
     assert clean.columns == docs.columns and clean.count() == single.count()
