@@ -5,12 +5,18 @@ into `parts` blocks, each block has `words` random unit vectors, and a direction
 word of each block, joined and scaled; words ** parts directions need only
 parts * words vectors.  `turns` rotations give independent codes, so that a vector which
 one code serves badly is in caps of the others.  A vector is in the cap of every direction whose inner product
-with it is at least `height`; list decoding finds these without visiting all directions
-(of the first block, words that the best of the second cannot lift over the bar fall
+with it is at least `bar`; list decoding finds these without visiting all directions
+(of the first block, words that the best of the others cannot lift over the bar fall
 out).  Vectors at a small angle share caps with a probability near one, so vectors are
 joined on (label, cap) and every pair that meets is verified by cosine in double
 precision.
 
+The filters follow the rows: fit_caps() sets the bar so that a cap holds about `company`
+vectors of an evenly spread label of the size of the largest, whatever that is, and adds
+turns until pairs made at the bound share a cap often enough.  What unrelated vectors
+cost is then in proportion to the rows.  What a dense group costs follows the square of
+its size, as each vector's links are counted; it is cut into tiles.
+
 Hot caps: equal vectors collapse to one row with a count before anything else.  A cap's
 members are compared in tiles of at most `tile` rows, each vector sent once to every
 tile pair of its row or column, so no task holds a cap.  A pair that meets in
@@ -27,45 +33,50 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.llm.common import components, has_columns, materialize
 
 COSINE = 0.93
+#: Vectors of an evenly spread label that a cap holds, the recall of pairs at the bound that turns are added for, and the pairs that measure it.
+COMPANY, RECALL, TRIALS = 8, 0.995, 2_000
+TILE, MOST_TURNS, MOST_WORDS = 1_024, 128, 64
 
 
 @dataclass(frozen=True)
 class Caps:
-    """The filters' parameters; height is in standard deviations of a random vector's inner product."""
+    """The filters' parameters; bar is the least inner product of unit vectors of `dim` numbers."""
 
-    turns: int = 48
-    parts: int = 2
-    words: int = 20
-    height: float = 3.0
+    dim: int
+    bar: float
+    parts: int
+    words: int
+    turns: int
     seed: int = 9
-    tile: int = 1_024
 
-    def codes(self, dim: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    def codes(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
         """For each turn a random rotation and each block's words."""
-        return _codes(self.turns, self.parts, self.words, self.seed, dim)
+        return [_code(self.parts, self.words, self.seed, self.dim, turn) for turn in range(self.turns)]
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cap) of every cap that each unit vector is in, by row, then cap."""
-        found = [self._decode(unit, turn, *code) for turn, code in enumerate(self.codes(unit.shape[1]))]
+        found = [self.decode_turn(unit, turn) for turn in range(self.turns)]
         row, cap = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((cap, row))
         return row[order], cap[order]
 
-    def _decode(self, unit: np.ndarray, turn: int, rotation: np.ndarray, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def decode_turn(self, unit: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        rotation, blocks = _code(self.parts, self.words, self.seed, self.dim, turn)
         turned = unit @ rotation
-        cuts = np.array_split(np.arange(unit.shape[1]), self.parts)
+        cuts = np.array_split(np.arange(self.dim), self.parts)
         inner = [turned[:, c] @ w.T for c, w in zip(cuts, blocks, strict=True)]
-        bar = self.height / np.sqrt(unit.shape[1]) * np.sqrt(self.parts)
+        bar = self.bar * np.sqrt(self.parts)
         rest = [*np.cumsum([x.max(axis=1) for x in reversed(inner)], axis=0)[::-1][1:], np.zeros(len(unit))]  # the most that later blocks add
         row, cap, total = np.arange(len(unit)), np.full(len(unit), turn, np.int64), np.zeros(len(unit))
         for x, more in zip(inner, rest, strict=True):
@@ -75,14 +86,48 @@ class Caps:
         return row, cap
 
 
+@functools.lru_cache(maxsize=4 * MOST_TURNS)
+def _code(parts: int, words: int, seed: int, dim: int, turn: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    rng = np.random.default_rng((seed, dim, turn))
+    blocks = [rng.standard_normal((words, len(own))) for own in np.array_split(np.arange(dim), parts)]
+    return np.linalg.qr(rng.standard_normal((dim, dim)))[0], [b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12) for b in blocks]
+
+
+def _tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products from 0 to 1, and the share of random unit vectors that reach each with a given one."""
+    t = np.linspace(0, 1, 20_001)
+    if dim < 3:
+        return t, np.arccos(t) / np.pi if dim == 2 else np.full(len(t), 0.5)
+    weight = (1 - t * t) ** ((dim - 3) / 2)
+    return t, np.cumsum(weight[::-1])[::-1] / weight.sum() / 2
+
+
 @functools.cache
-def _codes(turns: int, parts: int, words: int, seed: int, dim: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    out = []
-    for turn in range(turns):
-        rng = np.random.default_rng((seed, dim, turn))
-        blocks = [rng.standard_normal((words, len(own))) for own in np.array_split(np.arange(dim), parts)]
-        out.append((np.linalg.qr(rng.standard_normal((dim, dim)))[0], [b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12) for b in blocks]))
-    return out
+def fit_caps(members: int, dim: int, cosine: float = COSINE, recall: float = RECALL) -> Caps:
+    """Filters for a label of so many vectors of so many numbers; the same for the same arguments."""
+    t, tail = _tail(dim)
+    share = min(0.25, max(COMPANY / max(members, 1), float(tail[np.searchsorted(t, cosine)])))  # no smaller than what links anyway
+    rng = np.random.default_rng((7, dim))
+    x, y = rng.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine * cosine) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    if dim == 1:
+        y = x
+    while True:
+        directions = 1 / share
+        parts = max(1, min(dim // 2, next(p for p in range(2, 99) if directions <= MOST_WORDS**p)))
+        caps = Caps(dim, float(t[np.searchsorted(-tail, -share)]) if dim > 1 else 0.5, parts, max(2, round(directions ** (1 / parts))), MOST_TURNS)
+        missed = np.arange(TRIALS)
+        for turn in range(MOST_TURNS):
+            a, b = (np.stack(caps.decode_turn(v[missed], turn), axis=1) for v in (x, y))
+            met = np.unique(np.intersect1d(a.view([("r", a.dtype), ("c", a.dtype)]), b.view([("r", b.dtype), ("c", b.dtype)]))["r"])
+            missed = np.delete(missed, met)
+            if len(missed) <= (1 - recall) * TRIALS:
+                return replace(caps, turns=turn + 1)
+        if share >= 0.25:
+            return caps
+        share = min(0.25, 4 * share)  # so few share such caps that even all turns miss too many: larger caps
 
 
 def distinct_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -94,8 +139,14 @@ def distinct_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedd
     return rows.where(usable).groupBy(F.col(label).alias("label"), F.transform(vec, lambda x: x + 0.0).alias("vec")).agg(F.min(key).alias("vec_id"), F.count(F.lit(1)).alias("n"))
 
 
-def coded(vectors: DataFrame, caps: Caps) -> DataFrame:
-    """(label, dim, vec_id, n, v, caps): v has the doubles as bytes, caps the vector's caps in ascending order."""
+def fitted(vectors: DataFrame, cosine: float = COSINE) -> dict[int, Caps]:
+    """Filters for each dimension, from the size of its largest label; a row for each dimension reaches the driver."""
+    sizes = vectors.groupBy(F.size("vec").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n"))
+    return {r["dim"]: fit_caps(r["n"], r["dim"], cosine) for r in sizes.collect()}
+
+
+def coded(vectors: DataFrame, caps_of: dict[int, Caps], numbers: str = "<f8") -> DataFrame:
+    """(label, dim, vec_id, n, v, caps): v has the numbers as bytes, caps the vector's caps in ascending order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,11 +155,11 @@ def coded(vectors: DataFrame, caps: Caps) -> DataFrame:
                     part = group.iloc[i : i + 512]
                     x = np.stack(part["vec"].to_numpy()).astype(np.float64)
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
-                    row, cap = caps.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
-                    lists = np.split(cap.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
-                    yield pd.DataFrame({"label": part["label"].to_numpy(), "dim": np.int32(dim), "vec_id": part["vec_id"].to_numpy(), "n": part["n"].to_numpy(), "v": [v.astype("<f8").tobytes() for v in x], "caps": lists})
+                    row, cap = caps_of[dim].decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
+                    lists = np.split(cap, np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
+                    yield pd.DataFrame({"label": part["label"].to_numpy(), "dim": np.int32(dim), "vec_id": part["vec_id"].to_numpy(), "n": part["n"].to_numpy(), "v": [v.astype(numbers).tobytes() for v in x], "caps": lists})
 
-    return vectors.withColumn("label", F.col("label").cast("string")).mapInPandas(run, "label string, dim int, vec_id long, n long, v binary, caps array<int>")
+    return vectors.withColumn("label", F.col("label").cast("string")).mapInPandas(run, "label string, dim int, vec_id long, n long, v binary, caps array<long>")
 
 
 def tiled(found: DataFrame, tile: int) -> DataFrame:
@@ -161,7 +212,7 @@ def _compare(ids: np.ndarray, counts: np.ndarray, x: np.ndarray, caps: list[np.n
     return ids[found], links[found].astype(np.int64), least[found]
 
 
-def compared(tiles: DataFrame, cosine: float = COSINE) -> DataFrame:
+def compared(tiles: DataFrame, cosine: float = COSINE, numbers: str = "<f8") -> DataFrame:
     """(vec_id, links, least): partial counts and reach, from every tile pair."""
     keys = ["label", "dim", "cap", "row", "col"]
 
@@ -172,7 +223,7 @@ def compared(tiles: DataFrame, cosine: float = COSINE) -> DataFrame:
         ids, counts, mine, v, caps = (rows[c].to_numpy() for c in ("vec_id", "n", "mine", "v", "caps"))
         for i, j in zip(change, change[1:], strict=False):
             if j - i > 1:
-                x = np.frombuffer(b"".join(v[i:j]), "<f8").reshape(j - i, -1)
+                x = np.frombuffer(b"".join(v[i:j]), numbers).astype(np.float64).reshape(j - i, -1)
                 out.append(_compare(ids[i:j], counts[i:j], x, [*caps[i:j]], mine[i:j], row[i], col[i], cap[i], cosine))
         return out
 
@@ -200,10 +251,12 @@ def _frames(found: list[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({n: np.concatenate([f[i] for f in found]).astype(np.int64) for i, n in enumerate(("vec_id", "links", "least"))})
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, caps: Caps = Caps()) -> DataFrame:  # noqa: B008
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     vectors = materialize(distinct_vectors(rows, key, vector, label))
-    partial = materialize(compared(tiled(materialize(coded(vectors, caps)), caps.tile), cosine))
+    single = rows.schema[vector].dataType == T.ArrayType(T.FloatType(), rows.schema[vector].dataType.containsNull)
+    numbers = "<f4" if single else "<f8"  # the numbers as they are
+    partial = materialize(compared(tiled(materialize(coded(vectors, fitted(vectors, cosine), numbers)), tile), cosine, numbers))
     roots = components(partial.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
     links = partial.groupBy("vec_id").agg(F.sum("links").alias("links"))
     marked = vectors.join(links, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,23 +63,43 @@ def test_query_is_nearly_all_pairs_and_links_nothing_else(spark, at):
 
 def test_small_tiles_find_the_same(spark, at):
     df = spark.read.parquet(f"{at}/embeddings.parquet")
-    read = lambda tile: sorted(map(tuple, ed.near_duplicates(df, caps=ed.Caps(tile=tile)).collect()))
+    read = lambda tile: sorted(map(tuple, ed.near_duplicates(df, tile=tile).collect()))
     assert read(16) == read(1_024)
 
 
 def test_decoding_lists_exactly_the_caps():
-    caps, x = ed.Caps(turns=3, words=6, height=1.5), np.random.default_rng(1).standard_normal((40, 10))
+    caps, x = ed.Caps(dim=10, bar=0.5, parts=2, words=6, turns=3), np.random.default_rng(1).standard_normal((40, 10))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     row, cap = caps.decode(unit)
     want = set()
-    for turn, (rotation, (first, second)) in enumerate(caps.codes(10)):
+    for turn, (rotation, (first, second)) in enumerate(caps.codes()):
         for i in range(6):
             for j in range(6):
                 direction = np.concatenate((first[i], second[j]))
-                hit = unit @ rotation @ direction >= 1.5 / math.sqrt(10) * math.sqrt(2)
+                hit = unit @ rotation @ direction >= 0.5 * math.sqrt(2)
                 want |= {(int(r), (turn * 6 + i) * 6 + j) for r in np.flatnonzero(hit)}
     assert set(zip(row.tolist(), cap.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("dim", [1, 2, 4, 8, 12, 24, 64, 300])
+@pytest.mark.parametrize("members", [10, 5_000, 1_000_000])
+def test_filters_find_pairs_at_the_bound_and_hold_few_others(dim, members):
+    caps = ed.fit_caps(members, dim)
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = x if dim == 1 else 0.931 * x + math.sqrt(1 - 0.931**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    mine, other = (set(zip(*map(np.ndarray.tolist, caps.decode(v)), strict=True)) for v in (x, y))
+    assert len({r for r, _ in mine & other}) >= 0.975 * 400
+    per_vector = len(mine) / 400
+    if dim >= 24:  # unrelated vectors that a vector is compared with, all caps together: no more for a thousand times the rows
+        z = rng.standard_normal((400, dim))
+        apart = set(zip(*map(np.ndarray.tolist, caps.decode(z / np.linalg.norm(z, axis=1, keepdims=True))), strict=True))
+        by_cap = Counter(c for _, c in mine)
+        met = sum(by_cap[c] for _, c in apart) / 400 / 400 * members
+        assert per_vector < 150 and met < 1_000
+
+
 def test_empty_table(spark, empty_dir):
     assert op9_embedding_dedup(spark, empty_dir).count() == 0
