@@ -12,6 +12,10 @@ offset of each block.  Frames are decoded side by side: one step reads the next
 of all frames of a chunk.  A stream whose seek table does not list every block is read
 frame after frame.
 
+blocks() writes a stream out as PCM blocks, a row each with its sample offset; digest()
+works through such rows, and excerpt() reads samples [first, last) by decoding only the
+blocks that hold them.
+
 Defined cases: null content is empty; an empty payload is one block of padding; a
 damaged stream raises ValueError; rows with equal content have equal streams; extra
 columns are ignored.
@@ -228,6 +232,7 @@ class Stream:
         self.audio = at
         complete = points is not None and len(points) and points["n"].sum() == self.samples and (np.cumsum(points["n"]) - points["n"] == points["sample"]).all()
         self.starts = at + points["at"].astype(np.int64) if complete else None
+        self.offsets = points["sample"].astype(np.int64) if complete else None
 
 
 def _read_header(data: bytes, at: int) -> tuple[int, int, int, int]:
@@ -446,6 +451,25 @@ def _interleaved(blocks: list[np.ndarray], bits: int) -> bytes:
     return joined.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def read_samples(data: bytes, first: int, last: int) -> np.ndarray:
+    """Samples [first, last) x channels of one stream; only the blocks that hold them are decoded, if the seek table lists all."""
+    info = Stream(data)
+    first, last = max(first, 0), min(last, info.samples) if info.samples else last
+    if first >= last:
+        return np.empty((0, info.channels), np.int64)
+    if info.starts is not None:
+        i, j = int(np.searchsorted(info.offsets, first, side="right")) - 1, int(np.searchsorted(info.offsets, last))
+        begin, end = int(info.starts[i]), int(info.starts[j]) if j < len(info.starts) else len(data)
+        found, _ = _decode_frames(data[begin:end], info.starts[i:j] - begin, info.bits)
+        return np.concatenate(found)[first - info.offsets[i] : last - info.offsets[i]]
+    at, done, found = info.audio, 0, []
+    while at < len(data) and done < last:
+        (block,), (at,) = _decode_frames(data, np.array([at]), info.bits)
+        found.append(block[max(first - done, 0) : max(last - done, 0)])
+        done += len(block)
+    return np.concatenate(found)
+
+
 def payload_column(text: str = "text") -> Column:
     """A text's UTF-8 bytes, empty for null."""
     return text_or_empty(text).cast("binary")
@@ -476,22 +500,43 @@ def _parts(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[
             first, total = i + 1, 0
 
 
-def blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, block, sample_offset, n_samples, pcm): a row per block; pcm has whole-byte signed samples, channels interleaved."""
+def blocks(media: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, block, sample_offset, n_samples, pcm, carried): a row per block; pcm has whole-byte signed samples, channels interleaved.
+
+    The rows of a stream follow one another in order.  Other columns of media that are
+    named in `carried` stand in the row of block 0 and are null in the others.
+    """
+    names = [key, "block", "sample_offset", "n_samples", "pcm", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, 1):
-                out = []
-                for row, (info, found) in zip(part.column(0).to_pylist(), decode_many(part.column(1).to_pylist()), strict=True):
-                    at = 0
-                    for i, b in enumerate(found):
-                        out.append((row, i, at, len(b), _interleaved([b], info.bits)))
-                        at += len(b)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[key, "block", "sample_offset", "n_samples", "pcm"])
-
-    return media.select(key, "media").mapInArrow(run, f"`{key}` long, block int, sample_offset long, n_samples int, pcm binary")
+                counts, firsts, offsets, sizes, pcm = [], [], [], [], []
+                for info, found in decode_many(part.column(1).to_pylist()):
+                    counts.append(len(found))
+                    lengths = np.array([len(b) for b in found], np.int64)
+                    firsts.append(np.arange(len(found)))
+                    offsets.append(np.cumsum(lengths) - lengths)
+                    sizes.append(lengths)
+                    pcm += [_interleaved([b], info.bits) for b in found] if info.bits > 8 else _bytes_of(found)
+                if pcm:
+                    first, row = np.concatenate(firsts), np.repeat(np.arange(len(counts)), counts)
+                    own = pa.array(row, mask=first > 0)
+                    columns = [part.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(np.concatenate(offsets), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(pcm, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, *[part.column(2 + i).take(own) for i in range(len(carried))]], names=names)
+
+    kept = media.select(key, "media", *carried)
+    types = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in carried)
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, block int, sample_offset long, n_samples int, pcm binary{types}")
+
+
+def _bytes_of(found: list[np.ndarray]) -> list[bytes]:
+    """Each block's samples of up to 8 bits as bytes."""
+    data, at, out = np.concatenate([b.reshape(-1) for b in found]).astype(np.int8).tobytes(), 0, []
+    for b in found:
+        out.append(data[at : at + b.size])
+        at += b.size
+    return out
 
 
 def features(samples: np.ndarray) -> str:
@@ -501,20 +546,58 @@ def features(samples: np.ndarray) -> str:
     return f"{-(-len(samples) // BLOCK)}:{int(np.abs(samples).max(initial=0))}:{crossings}:{int((samples * samples).sum())}"
 
 
-def read_back(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of 8-bit mono streams, from decoded samples."""
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+def digest(rows: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, payload_bytes, payload_sha256, tail_crc32, feature, n_blocks, last_offset, carried) of each 8-bit mono stream, from rows as blocks() gives them.
+
+    Blocks are put in a row as their offsets say; one that is out of place raises ValueError.
+    """
+    names = [key, "payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_blocks", "last_offset", *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, at, last = [], None, 0, 0  # of the stream that goes on: its blocks, its first row, where the next block starts, where the last did
+
+        def finish() -> tuple:
+            signed = b"".join(held)
+            samples = np.frombuffer(signed, np.int8).astype(np.int64)
+            payload = (samples + 128).astype(np.uint8).tobytes()
+            return (own[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), features(samples), len(held), last, *own[1:])
+
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            types[0], out = batch.schema.field(0).type, []
+            tails = [batch.schema.field(4 + i).type for i in range(len(carried))]
+            key_of, block, offset, pcm = (batch.column(i).to_pylist() for i in range(4))
+            for i, b in enumerate(block):
+                if b == 0:
+                    if own is not None:
+                        out.append(finish())
+                    held, own, at = [], (key_of[i], *[batch.column(4 + c)[i].as_py() for c in range(len(carried))]), 0
+                if offset[i] != at:
+                    raise ValueError("a block is out of place")
+                held.append(pcm[i])
+                last, at = at, at + len(pcm[i])
+            if out:
+                yield _batch(out, [*types, *tails], names)
+        if own is not None:
+            yield _batch([finish()], [*types, *tails], names)
+
+    kept = rows.select(key, "block", "sample_offset", "pcm", *carried)
+    kinds = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in carried)
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_blocks long, last_offset long{kinds}")
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def excerpt(media: DataFrame, first: Column, last: Column, key: str = "doc_id") -> DataFrame:
+    """(key, first, last, pcm) of media(key, media): samples [first, last) of each stream, by its seek table; places past an end are cut off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 2):
-                out, streams = [], part.column(2).to_pylist()
-                for row, n, stream, (_, found) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), streams, decode_many(streams), strict=True):
-                    samples = np.concatenate([b[:, 0] for b in found])
-                    payload = (samples + 128).astype(np.uint8).tobytes()
-                    out.append((row, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), features(samples)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return media.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            keys, a, b, streams = (batch.column(i).to_pylist() for i in range(4))
+            pcm = [_interleaved([read_samples(d, x, y)], Stream(d).bits) for x, y, d in zip(a, b, streams, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(pcm, pa.binary())], names=[key, "first", "last", "pcm"])
+
+    kept = media.select(key, first.cast("long").alias("first"), last.cast("long").alias("last"), "media")
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, first long, last long, pcm binary")

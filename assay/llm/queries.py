@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assay.functions.ship import ship
 from assay.llm import embedding_dedup, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, toxicity
 
+from assay.llm.common import shared_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -77,7 +78,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", flac.payload_column("text").alias("content"))
-    return flac.read_back(flac.encode(docs))
+    carried = ("n_bytes", "media_bytes", "media_sha256")
+    media = flac.encode(docs).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    found = flac.digest(flac.blocks(media, carried=carried), carried=carried)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
