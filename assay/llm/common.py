@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows that one cell of a salted rank holds on average; cells grow in number, not in size.
-CELL_ROWS = 50_000
-
+from assay.functions.durable import durable as materialize
+from assay.functions.durable import forget, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["CELL_ROWS", "components", "group_rank", "has_columns", "materialize", "schema_of", "shared_dir", "spread", "text_or_empty"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/assay-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows that one cell of a salted rank holds on average; cells grow in number, not in size.
+CELL_ROWS = 50_000
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -74,17 +59,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, root) per node that has an edge; root is the smallest node reachable.
 
     Alternating large-star and small-star steps.  Each step is a partially
-    aggregated minimum per node joined back to the edges, so a hub with very many
-    edges is never gathered in one place.  Every round is written to the shared
-    folder; only a count and a checksum reach the driver.
+    aggregated minimum per node, written and joined back to the edges from two plain
+    shuffles, so that Spark splits a hub with very many edges by rows.  Every round is
+    written to the shared folder and the one before deleted; only a count and a checksum
+    reach the driver.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    now, at = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _checksum(now)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = materialize(_small_star(_large_star(now)))
-        after = _checksum(now)
+        large, *used = _large_star(now)
+        small, *more = _small_star(*written(large))
+        now, new = written(small)
+        forget(spark, at, *used, *more)
+        at, after = new, _checksum(now)
         if after == before:
             break
         before = after
@@ -99,16 +89,18 @@ def _checksum(edges: DataFrame) -> tuple:
     return int(row["n"]), row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
+    """The next edges, and the path of the table that they still read besides edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least, at = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), at
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(edges: DataFrame, at: str) -> tuple[DataFrame, str, str]:
+    """The next edges of edges, written at `at`, and the paths of the tables that they still read."""
+    least, more = written(edges.groupBy("a").agg(F.min("b").alias("m")))
     linked = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), at, more
 
 
 def schema_of(text: str) -> T.StructType:
