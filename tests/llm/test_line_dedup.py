@@ -37,6 +37,14 @@ def test_overlapping_repeats_within_a_document(spark):
     assert got == {1: ("\n".join("a b c d x".split()), [(4, 8), (9, 12)], 12), 2: ("q\nz", [(1, 4)], 5), 3: (None, [], 0), 4: ("a\nb", [], 2)}
 
 
+def test_time_follows_the_length_of_a_text(spark):
+    n = 200_000
+    text = "\n".join(f"{i}\na\nb\nc" for i in range(n))
+    got = line_dedup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_lines"] == 4 * n and len(got["removed"]) == n - 1 and tuple(got["removed"][-1]) == (4 * n - 3, 4 * n)
+    assert got["text"] == "\n".join(["0", "a", "b", "c", *map(str, range(1, n))])
+
+
 def test_columns_stay_and_no_python_runs(spark, docs, sf_dir, empty_dir):
     found = line_dedup.dedup(docs)
     assert found.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed", "removed"]
