@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assay.functions.durable import durable
+from assay.functions.ship import ship
 from assay.functions.paths import nested_archive, unsafe_link, unsafe_member
 from assay.functions.values import CRITICAL, FINDING, HIGH, LOW, MEDIUM, any_of, finding
 
@@ -269,12 +270,12 @@ def _tar_entries(source: Unpacked, limits: ArchiveLimits, rows: list[dict], own:
             continue
         blank = 0
         if not _checksum_fits(header):
-            return "tar header checksum mismatch"
+            return "the checksum of a tar member does not fit"
         kind = header[156:157]
         try:
             size = _octal(header[124:136])
         except ValueError:
-            return "tar header has an invalid size field"
+            return "a tar member states no readable size"
         if kind in b"LKxg":
             data = source.read(-(-size // 512) * 512)[:size]
             if kind in b"xg":
@@ -331,7 +332,7 @@ def list_stream(payload: str, content: bytes, kind: str, limits: ArchiveLimits)
 
 def entries(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content") -> DataFrame:  # noqa: B008
     """The rows of every payload that has an archive kind: one per container (idx -1) and one per entry."""
-
+    ship(payloads.sparkSession)
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(c, kinds[t]) for c, t in _ENTRY.items()])
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assay.functions.durable import durable
+from assay.functions.ship import ship
 from assay.functions.urls import CSS_URL, classify_url, css_cleaned, css_reaches_out, css_scripts
 from assay.functions.values import CRITICAL, FINDING, HIGH, LOW, MEDIUM, any_of, finding, findings, latin, no_findings
 
@@ -52,7 +53,7 @@ REMOVED_ATTRIBUTES = """
 PAINTS = "fill stroke filter clip-path mask marker-start marker-mid marker-end marker cursor".split()
 
 _ATTRIBUTE = "struct<raw:string,name:string,value:string>"
-NODE = f"payload_id string, node int, parent int, visit int, depth int, path array<int>, ns string, local string, attributes array<{_ATTRIBUTE}>, style string, too_deep boolean, elements int, error string"
+NODE = f"payload_id string, node int, parent int, visit int, depth int, last int, ns string, local string, attributes array<{_ATTRIBUTE}>, style string, too_deep boolean, elements int, error string"
 
 
 @dataclass(frozen=True)
@@ -107,34 +108,43 @@ def _attribute(raw: str, value: str) -> dict:
 
 
 def list_nodes(payload: str, content: bytes, max_depth: int) -> list[dict]:
-    """A row per element, numbered in document order; visit: the order of a walk that takes up the last child first."""
+    """A row per element, numbered in document order.
+
+    visit: the order of a walk that takes up the last child first; last: the largest number
+    inside the element, so that what stands inside it is known by numbers alone.
+    """
     try:
         root = ET.fromstring(content)
     except ET.ParseError as e:
         return [{"payload_id": payload, "node": -1, "visit": 0, "error": str(e)}]
-    number = {id(e): i for i, e in enumerate(root.iter())}
+    every = list(root.iter())
+    number = {id(e): i for i, e in enumerate(every)}
+    last = list(range(len(every)))
+    for i in range(len(every) - 1, -1, -1):
+        if len(every[i]):
+            last[i] = last[number[id(every[i][-1])]]
     rows: list[dict] = []
 
-    def add(e: ET.Element, parent: int | None, depth: int, path: list[int]) -> dict:
+    def add(e: ET.Element, parent: int | None, depth: int) -> dict:
         ns, local = _split(e.tag)
         style = "".join(e.itertext()) if local == "style" else None
-        rows.append({"payload_id": payload, "node": number[id(e)], "parent": parent, "visit": len(rows), "depth": depth, "path": path, "ns": ns, "local": local, "attributes": [_attribute(k, v) for k, v in e.attrib.items()], "style": style, "too_deep": False})
+        rows.append({"payload_id": payload, "node": number[id(e)], "parent": parent, "visit": len(rows), "depth": depth, "last": last[number[id(e)]], "ns": ns, "local": local, "attributes": [_attribute(k, v) for k, v in e.attrib.items()], "style": style, "too_deep": False})
         return rows[-1]
 
-    stack = [(root, add(root, None, 1, []))]
+    stack = [(root, add(root, None, 1))]
     while stack:
         e, row = stack.pop()
         if row["depth"] > max_depth:
             row["too_deep"] = True
             continue
-        stack += [(c, add(c, row["node"], row["depth"] + 1, [*row["path"], row["node"]])) for c in e]
+        stack += [(c, add(c, row["node"], row["depth"] + 1)) for c in e]
     return rows
 
 
 def nodes(files: DataFrame, policy: SvgPolicy = SvgPolicy(), key: str = "payload_id", content: str = "content") -> DataFrame:  # noqa: B008
     """svg_nodes of files that can be parsed; one row with an error (node -1) of those that cannot."""
     kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    special = {"path": pa.list_(pa.int32()), "attributes": pa.list_(pa.struct([(n, pa.string()) for n in ("raw", "name", "value")]))}
+    special = {"attributes": pa.list_(pa.struct([(n, pa.string()) for n in ("raw", "name", "value")]))}
     schema = pa.schema([(n, special.get(n) or kinds[t]) for n, t in (f.split(" ", 1) for f in NODE.replace(f"array<{_ATTRIBUTE}>", "attributes").split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +225,12 @@ def _remediated(f: Column, modify: bool) -> Column:
     return F.when(f.isNotNull(), F.struct(f["code"].alias("code"), f["severity"].alias("severity"), f["message"].alias("message"), f["detail"].alias("detail"), F.lit(modify).alias("remediated")).cast(FINDING))
 
 
+def _outside(svg_nodes: DataFrame, which: Column) -> DataFrame:
+    """The nodes that stand inside none of those that `which` picks."""
+    before = Window.partitionBy("payload_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    return svg_nodes.withColumn("_end", F.max(F.when(which, F.col("last"))).over(before)).where(F.coalesce(F.col("_end") < F.col("node"), F.lit(True))).drop("_end")
+
+
 def verdicts(svg_nodes: DataFrame, policy: SvgPolicy, modify: bool) -> DataFrame:
     """(payload_id, visit, verdicts): per visited element what is wrong with it and what is to be done.
 
@@ -223,13 +239,10 @@ def verdicts(svg_nodes: DataFrame, policy: SvgPolicy, modify: bool) -> DataFrame
     """
     rooted = svg_nodes.withColumn("_gone", F.when(F.col("visit") > 0, element_verdict(policy)))
     if modify:
-        removed = rooted.where(F.col("_gone").isNotNull()).groupBy("payload_id").agg(F.collect_list("node").alias("_removed"))
-        rooted = rooted.join(removed, "payload_id", "left").where(~F.coalesce(F.arrays_overlap("path", "_removed"), F.lit(False)))
+        rooted = _outside(rooted, F.col("_gone").isNotNull())
     counted = rooted.withColumn("_rank", F.row_number().over(Window.partitionBy("payload_id").orderBy("visit")))
     excess = F.col("_rank") > policy.max_elements
-    # an element beyond the limit is told of only if the one around it is within
-    over = counted.where(excess).groupBy("payload_id").agg(F.collect_set("node").alias("_over"))
-    counted = counted.join(over, "payload_id", "left").where(~F.coalesce(F.arrays_overlap("path", "_over"), F.lit(False)))
+    counted = _outside(counted, excess)  # an element beyond the limit is told of only if the one around it is within
     none = lambda t: F.lit(None).cast(t)
 
     def verdict(f: Column, raw=None, replacement=None, style=None, gone: bool = False) -> Column:
@@ -264,24 +277,23 @@ def _rewritten(contents: pd.Series, edits: pd.Series) -> pd.Series:
         if content is None:
             return None
         root = ET.fromstring(content)
-        every, around = list(root.iter()), {}
-        for e in every:
-            around.update((id(c), e) for c in e)
+        every, gone = list(root.iter()), set()
         for edit in todo if todo is not None else ():
             e = every[edit["node"]]
             if edit["gone"]:
-                _take_out(around[id(e)], e)
+                gone.add(id(e))
             elif edit["raw"] == "*":
-                for child in list(e):
-                    e.remove(child)
+                e[:] = []
             elif edit["style"] is not None:
-                for child in list(e):
-                    e.remove(child)
+                e[:] = []
                 e.text = edit["style"]
             elif edit["replacement"] is None:
                 e.attrib.pop(edit["raw"], None)
             else:
                 e.attrib[edit["raw"]] = edit["replacement"]
+        for e in every if gone else ():
+            if any(id(c) in gone for c in e):
+                _take_out(e, gone)
         if not root.tag.startswith("{"):
             root.set("xmlns", SVG_NS)
         return ET.tostring(root, encoding="utf-8", xml_declaration=True)
@@ -289,17 +301,30 @@ def _rewritten(contents: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([rewrite(c, e) for c, e in zip(contents, edits, strict=True)], dtype=object)
 
 
-def _take_out(parent: ET.Element, child: ET.Element) -> None:
-    """Remove child; the text after it stays."""
-    at = list(parent).index(child)
-    if child.tail and at:
-        parent[at - 1].tail = (parent[at - 1].tail or "") + child.tail
-    elif child.tail:
-        parent.text = (parent.text or "") + child.tail
-    parent.remove(child)
+def _take_out(parent: ET.Element, gone: set[int]) -> None:
+    """Remove the children that are in gone; the text after each stays."""
+    kept, text = [], [parent.text or ""]
+
+    def settle() -> None:
+        if len(text) > 1:
+            if kept:
+                kept[-1].tail = "".join(text)
+            else:
+                parent.text = "".join(text)
+
+    for child in parent:
+        if id(child) in gone:
+            text.append(child.tail or "")
+        else:
+            settle()
+            kept.append(child)
+            text = [child.tail or ""]
+    settle()
+    parent[:] = kept
 
 
 def _inspect(files: DataFrame, policy: SvgPolicy, modify: bool, key: str, content: str) -> DataFrame:
+    ship(files.sparkSession)
     found, cleaned = before_parsing(F.col(content), policy, modify)
     ready = files.select(F.col(key).cast("string").alias("payload_id"), found.alias("_before"), cleaned.alias("content"))
     ready = durable(ready)

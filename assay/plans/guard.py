@@ -20,6 +20,7 @@ from assay.functions.durable import durable
 from assay.functions.names import GENERIC_CONTENT_TYPES, any_rule_matches, canonical_extension, compile_rules, content_type_compatible, extension_matches, file_extension, filename_findings, normalize_content_type, sanitize_filename
 from assay.functions.polyglot import embedded, trailing
 from assay.functions.registry import known_extensions
+from assay.functions.ship import ship
 from assay.functions.values import FINDING, HIGH, INFO, LOW, finding, findings, held, no_findings
 from assay.operators.archive import Overflow, Unpacked, archive_kind
 from assay.operators.archive import inspect as inspect_archives
@@ -148,27 +149,36 @@ def _result(rows: DataFrame, policy: Policy, unicode_forms: bool = True) -> Data
     return rows.select("payload_id", ok.alias("ok"), "filename", safe.alias("safe_filename"), "declared_extension", F.col("content_type").alias("declared_content_type"), "detected", "size", "findings", "archive", "sanitized")
 
 
+def _reported(found: Column, due: Column) -> Column:
+    """found; where a report is due and there is none, an error."""
+    return F.when(due & found.isNull(), F.raise_error(F.lit("a payload was taken apart and has no report")).cast(f"array<{FINDING}>")).otherwise(found)
+
+
 def scan(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """scan_results: payload_id, ok, filename, safe_filename, declared_extension, declared_content_type, detected, size, findings, archive, sanitized.
 
-    payload_id has to be unique.  What the single pass over all payloads finds is written
-    to the shared folder at once, with the content of SVG files and archives only, which
-    are then taken apart.
+    Ids may be null or repeated: rows are told apart by a number of their own.  What the
+    single pass over all payloads finds is written to the shared folder at once, with the
+    content of SVG files and archives only, which are then taken apart.  A file that has
+    to be taken apart and comes back without a report stops the job.
     """
+    ship(payloads.sparkSession)
     rows = checked(payloads, policy)
     is_svg = F.col("detected.mime") == "image/svg+xml"
     apart = is_svg | (F.col("archive_kind").isNotNull() if policy.inspect_archives else F.lit(False))
-    rows = durable(rows.withColumn("content", F.when(apart, F.col("content"))))
+    rows = durable(rows.withColumn("content", F.when(apart, F.col("content"))).withColumn("_row", F.monotonically_increasing_id().cast("string")))
     gzipped = F.array_contains("detected.extensions", "svgz")
     cap = policy.svg_policy.max_bytes
-    files = rows.where(is_svg & (F.col("size") > 0)).select("payload_id", F.when(gzipped, _gunzipped(F.when(gzipped, F.col("content")), F.lit(cap))).when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
+    drawn = is_svg & (F.col("size") > 0)
+    files = rows.where(drawn).select(F.col("_row").alias("payload_id"), F.when(gzipped, _gunzipped(F.when(gzipped, F.col("content")), F.lit(cap))).when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
     look = sanitize_svg if policy.sanitize_svg else scan_svg
     svg = look(files.where(F.col("content").isNotNull()), policy.svg_policy)
     too_large = files.where(F.col("content").isNull()).select("payload_id", findings(finding(F.lit(True), "svg.too_large", HIGH, f"SVG of over {cap} bytes")).alias("svg_findings"), F.lit(None).cast("binary").alias("sanitized"))
-    joined = rows.join(svg.unionByName(too_large), "payload_id", "left")
+    joined = rows.join(svg.unionByName(too_large).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("svg_findings", _reported(F.col("svg_findings"), drawn))
     if policy.inspect_archives:
-        packed = rows.where(F.col("archive_kind").isNotNull() & (F.col("size") > 0)).select("payload_id", "content", F.col("archive_kind").alias("archive"))
-        joined = joined.join(inspect_archives(packed, policy.archive_limits), "payload_id", "left")
+        packed_up = F.col("archive_kind").isNotNull() & (F.col("size") > 0)
+        packed = rows.where(packed_up).select(F.col("_row").alias("payload_id"), "content", F.col("archive_kind").alias("archive"))
+        joined = joined.join(inspect_archives(packed, policy.archive_limits).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("archive_findings", _reported(F.col("archive_findings"), packed_up))
     else:
         joined = joined.withColumn("archive", F.lit(None).cast("string")).withColumn("archive_findings", F.lit(None))
     parts = [F.col("_first"), *[F.coalesce(F.col(c).cast(f"array<{FINDING}>"), no_findings()) for c in ("svg_findings", "archive_findings")], F.col("_last")]

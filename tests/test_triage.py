@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import struct
+import subprocess
+import sys
 import tarfile
 import zipfile
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -17,6 +21,8 @@ from assay.plans import guard, http
 from assay.plans.policy import Policy
 from assay.sources.payloads import UnsupportedSource, from_bytes, read_payloads
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def png() -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -125,3 +131,34 @@ def test_sources(spark, tmp_path):
 
 def test_detection_of_nothing(spark):
     assert detect(from_bytes(spark, [("x", b"")])).first()["detected"]["category"] == "unknown"
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(None, "slip.zip", CASES["slip.zip"][0]), (None, "pic.svg", SVG), ("7", "data.zip", CASES["data.zip"][0]), ("7", "slip.zip", CASES["slip.zip"][0]), ("7", "pic.svg", SVG)]
+    found = guard.scan(spark.createDataFrame([(k, n, bytearray(b)) for k, n, b in rows], "payload_id string, filename string, content binary")).collect()
+    assert sorted((str(r["payload_id"]), r["filename"], r["ok"]) for r in found) == sorted((str(k), n, n != "slip.zip") for k, n, _ in rows)
+    assert all(r["archive"] is not None for r in found if r["filename"] != "pic.svg")
+    assert all(r["sanitized"] is not None for r in found if r["filename"] == "pic.svg")
+
+
+def test_a_missing_report_stops_the_job(spark, monkeypatch):
+    look = guard.inspect_archives
+    monkeypatch.setattr(guard, "inspect_archives", lambda *a: look(*a).where("false"))
+    with pytest.raises(Exception, match="no report"):
+        guard.scan(from_bytes(spark, [("slip.zip", CASES["slip.zip"][0])])).collect()
+
+
+def test_the_package_reaches_executors_by_itself(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from assay.plans import guard\n"
+        "from assay.sources.payloads import read_payloads\n"
+        f"rows = guard.scan(read_payloads(spark, [('pic.svg', {SVG!r})])).collect()\n"
+        "assert rows[0]['ok'] and rows[0]['sanitized'] is not None\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr[-2000:]
