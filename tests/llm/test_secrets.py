@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from assay.llm import secrets
 from assay.llm.queries import op2_secret_scan
 
@@ -31,15 +33,42 @@ def test_query_is_what_patterns_find(spark, sf_dir, table):
     assert sum(w[1] for w in want) > 40
 
 
-def test_ledger_grows_by_unseen_pairs_only(spark):
-    v1 = spark.createDataFrame([("a", "token=abcdefg"), ("b", "token=abcdefg"), ("c", None)], "path string, content string")
-    first = secrets.scan_new(v1)
-    assert first.count() == 2  # one blob for two paths, and the empty one
-    v2 = v1.unionByName(spark.createDataFrame([("d", "secret: 1234567")], "path string, content string"))
-    assert [r["spans"][0]["kind"] for r in secrets.scan_new(v2, first).collect()] == ["assign"]
-    assert secrets.scan_new(v2, first, rules_version="next").count() == 3
-    paths = secrets.join_paths(v2, first.unionByName(secrets.scan_new(v2, first)))
-    assert sorted((r["path"], r["kind"], r["start"], r["end"]) for r in secrets.findings(paths).collect()) == [("a", "assign", 0, 13), ("b", "assign", 0, 13), ("d", "assign", 0, 15)]
+VERSIONS = "path string, content string"
+
+
+def test_ledger_grows_by_unseen_pairs_only(spark, tmp_path):
+    v1 = spark.createDataFrame([("a", "token=abcdefg"), ("b", "token=abcdefg"), ("c", None)], VERSIONS)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.scan(v1)
+    assert ledger.rows().count() == 2  # one blob for two paths, and the empty one
+    v2 = v1.unionByName(spark.createDataFrame([("d", "secret: 1234567")], VERSIONS))
+    assert [r["spans"][0]["kind"] for r in secrets.scan_new(v2, ledger.rows()).collect()] == ["assign"]
+    waiting = {r["path"]: r["spans"] for r in ledger.findings(v2).collect()}
+    assert waiting["d"] is None and waiting["c"] == []
+    again = secrets.Ledger(spark, str(tmp_path / "ledger"))  # another session finds what is stored
+    again.scan(v2)
+    again.scan(v2)
+    assert again.rows().count() == 3
+    assert sorted((r["path"], r["kind"], r["start"], r["end"]) for r in secrets.findings(again.findings(v2)).collect()) == [("a", "assign", 0, 13), ("b", "assign", 0, 13), ("d", "assign", 0, 15)]
+
+
+def test_other_rules_are_another_version(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "token=abcdefg key-123")], VERSIONS)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.scan(docs)
+    more = (*secrets.RULES, secrets.Rule("key", "key-", "[0-9]+", 3))
+    assert secrets.rules_version(more) != secrets.rules_version()
+    ledger.scan(docs, rules=more)
+    assert [s["kind"] for s in ledger.findings(docs, rules=more).first()["spans"]] == ["assign", "key"]
+    assert [s["kind"] for s in ledger.findings(docs).first()["spans"]] == ["assign"]
+
+
+def test_time_follows_the_length_of_a_text(spark):
+    n = 200_000
+    docs = spark.createDataFrame([(1, "token=abcdefg \u2603 " * n), (2, None)], "doc_id long, text string")
+    spans = secrets.scan_new(docs, content="text").orderBy(F.size("spans").desc()).first()["spans"]
+    assert len(spans) == n and (spans[-1]["start"], spans[-1]["end"]) == (16 * (n - 1), 16 * (n - 1) + 13)
+    assert secrets.redacted(docs).where("doc_id = 1").first()["text"] == "[SECRET] \u2603 " * n
 
 
 def test_redaction_keeps_all_else(spark, docs, table):
