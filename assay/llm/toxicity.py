@@ -1,17 +1,17 @@
 """Toxicity by weak supervision.
 
 Voters: word lexicons and patterns written down here, and lexicons of stems (words and
-their first 4 to 6 letters) mined from labelled rows for standing in toxic texts far more
+their first 4 to 6 letters, by how many words of a text have them) mined from labelled rows for standing in toxic texts far more
 often than in others, dealt out by strength so that each lexicon speaks for all languages.
 A generative label model, fitted by expectation maximisation on the votes alone,
-estimates how often each voter fires on either class; what voters still have in common
-given the class is estimated as correlation, and a voter's evidence is divided by
-one plus its correlations, so that ten names of one signal do not count ten times.  A
-linear classifier on stems and voters is trained on the posterior labels and scores
-every text.
-
-Labels are used to mine stems, for the share of toxic rows and, at the end, to set the
-scale of the scores; the label model itself does not see them.  At most about `rows` labelled rows, chosen by a hash of their key,
+estimates how often each voter fires on either class and which voters depend on each
+other given the class: those form a forest (the heaviest by conditional mutual
+information), in which a voter's rate on either class also depends on its parent's vote.
+So ten names of one signal do not count ten times.  A linear classifier on stems and
+voters is trained on the posterior labels and scores every text.
+
+Written voters need no label.  Labels are used to mine stems, for the share of toxic
+rows and, at the end, to set the scale of the scores; the label model does not see them.  At most about `rows` labelled rows, chosen by a hash of their key,
 teach; everything else covers all rows.
 
 Defined cases: null and empty texts have no feature and get the score of a text without
@@ -44,46 +44,73 @@ LEXICONS = {
     "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting", "filth", "vermin"),
     "hate": ("hate", "despise", "loathe"),
     "threat": ("kill", "hurt", "destroy", "die"),
+    "insult de": ("idiot", "trottel", "depp", "dummkopf", "versager", "blödmann", "arschloch"),
+    "contempt de": ("abschaum", "dreck", "wertlos", "erbärmlich", "widerlich", "ungeziefer"),
+    "insult es": ("idiota", "imbécil", "estúpido", "estúpida", "tonto", "tonta", "payaso"),
+    "contempt es": ("escoria", "basura", "inútil", "patético", "asqueroso", "asquerosa"),
+    "insult fr": ("idiot", "idiote", "imbécile", "stupide", "crétin", "abruti", "connard"),
+    "contempt fr": ("ordure", "déchet", "minable", "pathétique", "dégoûtant", "vermine"),
 }
 PATTERNS = {
     "address": r"\b[Yy]ou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|fool|scum|trash|clown)\b",
     "masked": r"\b\w+\*{2,}\w+\b",
+    "spelled": r"(?i)\b(?:1d[i1]ot|[i1]d[i1]0t|m[0o]r0n|stup1d|l0[sz]er|tr[4@]sh|5cum)\b",
+    "wish": r"(?i)\b(?:shut up|go to hell|drop dead|halt die klappe|cállate|ferme-la)\b",
     "shouting": r"(?:\b[A-Z]{4,}\b\W+){3,}",
     "banging": r"[!?]{3,}",
 }
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_WRITTEN = {w: f"lexicon:{name}" for name, words in LEXICONS.items() for w in words}
+_WRITTEN: dict[str, list[str]] = {}
+for _name, _words in LEXICONS.items():
+    for _word in _words:
+        _WRITTEN.setdefault(_word, []).append(f"lexicon:{_name}")
 _PATTERNS = {f"pattern:{name}": re.compile(p).search for name, p in PATTERNS.items()}
 WRITTEN = (*(f"lexicon:{n}" for n in LEXICONS), *_PATTERNS)
 _REMEMBERED = 400_000
 
 
+#: A stem is also a feature of texts with so many different words that begin with it.
+TIMES = (2, 4)
+
+
 def stems(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))
 
 
+def stems_of(words: set[str]) -> set[str]:
+    """All stems of a text's words; `abcd-4` is that of a text with four or more words in abcd."""
+    counted = Counter(s for w in words for s in stems(w))
+    return {*counted, *(f"{s}{n}" for s, times in counted.items() for n in TIMES if times >= n and s[-1] == "-")}
+
+
 class Features:
     """Finds which of the known features a text has; words are remembered up to a bound."""
 
     def __init__(self, names: list[str]):
         self.at, self.memo = {n: i for i, n in enumerate(names)}, {}
+        self.often: dict[str, list[tuple[int, int]]] = {}  # by stem: how many words make which feature
+        for n, i in self.at.items():
+            if n[-1].isdigit() and n[-2:-1] == "-":
+                self.often.setdefault(n[:-1], []).append((int(n[-1]), i))
 
-    def _of(self, word: str) -> tuple[int, ...]:
+    def _of(self, word: str) -> tuple[str, ...]:
         low = word.lower()
-        names = [s for s in stems(low) if s in self.at]
-        if low in _WRITTEN:
-            names.append(_WRITTEN[low])
-        return tuple(self.at[n] for n in names if n in self.at)
+        names = [s for s in stems(low) if s in self.at or s in self.often]
+        names += _WRITTEN.get(low, ())
+        return tuple(names)
 
     def find(self, text: str) -> set[int]:
         if len(self.memo) > _REMEMBERED:
             self.memo = {}
-        words, found = set(_WORDS(text)), set()
-        for w in words:
-            hit = self.memo.get(w)
-            if hit is None:
-                hit = self.memo[w] = self._of(w)
-            found.update(hit)
+        hits: dict[str, set[str]] = {}
+        for w in set(_WORDS(text)):
+            named = self.memo.get(w)
+            if named is None:
+                named = self.memo[w] = self._of(w)
+            for n in named:
+                hits.setdefault(n, set()).add(w.lower())
+        found = {self.at[n] for n in hits if n in self.at}
+        found.update(i for stem, features in self.often.items() if stem in hits for times, i in features if len(hits[stem]) >= times)
         found.update(self.at[n] for n, search in _PATTERNS.items() if n in self.at and search(text))
         return found
 
@@ -95,7 +122,7 @@ def mine(rows: DataFrame, size: int = STEMS) -> list[str]:
         for batch in batches:
             seen = (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                seen[int(toxic)].update({s for w in set(_WORDS(text.lower())) for s in stems(w)})
+                seen[int(toxic)].update(stems_of({w.lower() for w in _WORDS(text)}))
             names = list(seen[1]) + [s for s in seen[0] if s not in seen[1]]
             yield pd.DataFrame({"stem": names, "bad": [seen[1][s] for s in names], "good": [seen[0][s] for s in names]}).astype({"bad": "int64", "good": "int64"})
 
@@ -110,53 +137,99 @@ def mine(rows: DataFrame, size: int = STEMS) -> list[str]:
     return [r["stem"] for r in strong.select("stem").collect()]
 
 
-def vote(found: np.ndarray, lexica: int = LEXICA) -> np.ndarray:
-    """Votes (rows x voters) from features (rows x features): the written voters, then mined lexicons; voters that never fire are left out."""
+def vote(found: np.ndarray, lexica: int = LEXICA) -> tuple[np.ndarray, list[str]]:
+    """Votes (rows x voters) from features (rows x features), and the voters' names: the written voters, then mined lexicons; voters that never fire are left out."""
     mined = found[:, len(WRITTEN) :]
     dealt = [mined[:, i::lexica].any(axis=1) for i in range(min(lexica, mined.shape[1]))]
     votes = np.concatenate((found[:, : len(WRITTEN)], np.array(dealt, bool).reshape(len(dealt), len(found)).T), axis=1)
-    return votes[:, votes.any(axis=0)]
+    names = [*WRITTEN, *(f"mined:{i}" for i in range(len(dealt)))]
+    fires = votes.any(axis=0)
+    return votes[:, fires], [n for n, f in zip(names, fires, strict=True) if f]
 
 
 @dataclass
 class LabelModel:
-    """Class-conditional firing rates of voters, their correlations given the class, and the share of class 1."""
+    """P(class) and, for each voter, P(vote | class, vote of its parent).
+
+    rates[c, j]: how often voter j fires on class c; parents[j]: the voter that j depends
+    on given the class, or -1; given[c, u, j]: how often j fires on class c when its
+    parent votes u; correlations: of voters given the class.
+    """
 
     prior: float
     rates: np.ndarray = field(default_factory=lambda: np.empty((2, 0)))
+    parents: np.ndarray = field(default_factory=lambda: np.empty(0, int))
+    given: np.ndarray = field(default_factory=lambda: np.empty((2, 2, 0)))
     correlations: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
-    def fit(self, votes: np.ndarray, rounds: int = 50) -> np.ndarray:
+    def fit(self, votes: np.ndarray, rounds: int = 60) -> np.ndarray:
         """Fit to votes (rows x voters, bool); returns the posterior of class 1."""
         x, n = votes.astype(np.float64), votes.shape[1]
-        self.correlations = np.eye(n)
-        weights = np.ones(n)
+        self.parents = np.full(n, -1)
         post = np.where(votes.any(axis=1), 0.9, 0.01)  # to begin with, any vote is believed
         for i in range(rounds):
-            total = np.array([(1 - post).sum(), post.sum()])
-            self.rates = np.clip(np.stack(((1 - post) @ x + 0.1, post @ x + 0.1)) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
-            if i % 5 == 4:
-                self.correlations = self._correlate(x, post)
-                weights = 1 / (np.abs(self.correlations).sum(axis=1))
-            new = self._posterior(x, weights)
-            if np.abs(new - post).max(initial=0) < 1e-6 and i > 10:
+            self._rate(x, post)
+            if i % 10 == 9 or not i:
+                self.parents = self._forest(x, post)
+            self._rate_given(x, post)
+            new = self.posterior(votes)
+            if np.abs(new - post).max(initial=0) < 1e-6 and i > 20:
                 break
             post = new
         return post
 
-    def _posterior(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        fired, silent = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        odds = np.log(self.prior / (1 - self.prior)) + x @ (weights * (fired - silent)) + (weights * silent).sum()
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(class 1 | votes)."""
+        rows, n = votes.shape
+        above = np.where(self.parents >= 0, votes[:, self.parents], 0).astype(int)
+        p = self.given[:, above, np.arange(n)]  # class x rows x voters
+        evidence = np.log(np.where(votes, p, 1 - p)).sum(axis=2)
+        odds = np.log(self.prior / (1 - self.prior)) + evidence[1] - evidence[0]
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-    def _correlate(self, x: np.ndarray, post: np.ndarray) -> np.ndarray:
-        left = x - (1 - post)[:, None] * self.rates[0] - post[:, None] * self.rates[1]
-        cov = left.T @ left / max(len(x), 1)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        found = cov / scale[:, None] / scale
-        found[np.abs(found) < 0.1] = 0  # sampling noise
-        np.fill_diagonal(found, 1)
-        return found
+    def _rate(self, x: np.ndarray, post: np.ndarray) -> None:
+        total = np.array([(1 - post).sum(), post.sum()])
+        self.rates = np.clip(np.stack(((1 - post) @ x + 0.1, post @ x + 0.1)) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
+
+    def _rate_given(self, x: np.ndarray, post: np.ndarray) -> None:
+        above = np.where(self.parents >= 0, x[:, self.parents], 0)
+        self.given = np.empty((2, 2, x.shape[1]))
+        for c, w in enumerate((1 - post, post)):
+            for u, on in enumerate((1 - above, above)):
+                seen, fired = w @ on, w @ (on * x)
+                self.given[c, u] = np.clip((fired + 2 * self.rates[c]) / (seen + 2), 1e-4, 1 - 1e-4)  # few rows: near the rate of the class
+
+    def _forest(self, x: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Each voter's parent in the heaviest forest of pairs that depend on each other given the class beyond chance."""
+        rows, n = x.shape
+        information, covariance = np.zeros((n, n)), np.zeros((n, n))
+        for w in (1 - post, post):
+            total, both, one = w.sum() + 1e-9, (x * w[:, None]).T @ x, w @ x
+            joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}
+            margin = {1: one, 0: total - one}
+            for (a, b), m in joint.items():
+                m = np.maximum(m, 0)
+                expected = margin[a][:, None] * margin[b][None, :] / total
+                information += np.where((m > 0) & (expected > 0), m * np.log(np.maximum(m, 1e-12) / np.maximum(expected, 1e-12)), 0)
+            covariance += both - one[:, None] * one[None, :] / total
+        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+        self.correlations = covariance / spread[:, None] / spread
+        strong = (2 * information > 20) & (np.abs(self.correlations) > 0.1)  # chance: 2 on average, over 20 in 1 of 20,000
+        parents, inside = np.full(n, -1), np.zeros(n, bool)
+        for start in range(n):
+            if inside[start]:
+                continue
+            inside[start] = True
+            best, via = np.where(strong[start], information[start], 0.0), np.full(n, start)
+            while True:
+                best[inside] = 0
+                j = int(best.argmax())
+                if best[j] <= 0:
+                    break
+                parents[j], inside[j] = via[j], True
+                better = strong[j] & (information[j] > best)
+                best, via = np.where(better, information[j], best), np.where(better, j, via)
+        return parents
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 500) -> tuple[np.ndarray, float]:
@@ -180,6 +253,12 @@ class Model:
     weights: np.ndarray
     bias: float
     label_model: LabelModel
+    voters: list[str] = field(default_factory=list)
+
+    def report(self) -> list[tuple[str, float, float, str | None]]:
+        """(voter, share of toxic texts and of others that it fires on, the voter it depends on) as the label model estimates them."""
+        m = self.label_model
+        return [(v, float(m.rates[1, j]), float(m.rates[0, j]), self.voters[m.parents[j]] if m.parents[j] >= 0 else None) for j, v in enumerate(self.voters)]
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS) -> Model:
@@ -199,7 +278,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     for i, found in enumerate(sample["found"]):
         x[i, list(found)] = True
     prior = float(np.clip(sample["toxic"].mean(), 0.01, 0.5)) if len(sample) else 0.05
-    votes, model = vote(x), LabelModel(prior)
+    (votes, voters), model = vote(x), LabelModel(prior)
     if not votes.size:
         weights = np.array([3.0 if n.startswith("lexicon") else 1.0 for n in names])
         return Model(names, weights, -2.0, model)
@@ -207,7 +286,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     (slope,), shift = fit_linear((x @ weights + bias)[:, None], sample["toxic"].to_numpy(), ridge=0.01)  # calibrated on the labels
     if slope > 0:
         weights, bias = weights * slope, bias * slope + shift
-    return Model(names, weights, bias, model)
+    return Model(names, weights, bias, model, voters)
 
 
 def bounded(labels: DataFrame, key: str = "doc_id", rows: int = ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -60,6 +61,52 @@ def test_label_model_finds_good_voters_and_discounts_copies():
     assert model.correlations[4, 5] > 0.9 and abs(model.correlations[0, 1]) < 0.3
 
 
+def test_posterior_is_bayes_rule_over_the_forest():
+    """Against a plain product of probabilities, row by row; a voter that copies another is found to depend on it."""
+    rng = np.random.default_rng(2)
+    y = rng.random(3_000) < 0.3
+    a, b, d, e = (np.where(y, rng.random(3_000) < hit, rng.random(3_000) < false) for hit, false in ((0.7, 0.05), (0.6, 0.02), (0.6, 0.03), (0.7, 0.02)))
+    c = np.where(rng.random(3_000) < 0.9, a, rng.random(3_000) < 0.3)  # mostly what a says
+    votes = np.stack([a, b, c, d, e], axis=1)
+    model = toxicity.LabelModel(0.3)
+    post = model.fit(votes)
+    assert {frozenset((j, int(p))) for j, p in enumerate(model.parents) if p >= 0} == {frozenset((0, 2))}
+    for row, got in zip(votes[:200].tolist(), post[:200].tolist(), strict=True):
+        joint = [0.7, 0.3]
+        for k in (0, 1):
+            for j, v in enumerate(row):
+                p = model.given[k, int(row[model.parents[j]]) if model.parents[j] >= 0 else 0, j]
+                joint[k] *= p if v else 1 - p
+        assert abs(joint[1] / sum(joint) - got) < 1e-4
+    assert ((post > 0.5) == y).mean() > 0.9
+
+
+def test_scores_are_those_of_a_plain_sum(spark, docs):
+    """Every text's score, by looking for each feature by itself."""
+    rng = random.Random(3)
+    texts = [prose(rng, "en", 20) + (f" scum snarlpox{'es' if i % 10 else ''}" if i % 5 == 0 else "") for i in range(400)]
+    rows = spark.createDataFrame([(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.train(rows)
+    assert any(n.startswith("snar") for n in model.names) and model.report()
+    given = docs.select("doc_id", "text").unionByName(rows.select("doc_id", "text").limit(40))
+    for r in toxicity.score(given, model).collect():
+        text, total = r["text"] or "", model.bias
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", text)}
+        for name, weight in zip(model.names, model.weights, strict=True):
+            kind, _, rest = name.partition(":")
+            if kind == "lexicon":
+                hit = any(w in words for w in toxicity.LEXICONS[rest])
+            elif kind == "pattern":
+                hit = re.search(toxicity.PATTERNS[rest], text) is not None
+            elif "-" in name:
+                stem, _, times = name.partition("-")
+                hit = sum(w.startswith(stem) and len(w) > len(stem) for w in words) >= int(times or 1)
+            else:
+                hit = name in words
+            total += weight * hit
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(total, -40, 40)))) < 1e-9, r
+
+
 def test_no_labels_leave_the_written_voters(spark):
     model = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     rows = spark.createDataFrame([(1, "you are an idiot and scum"), (2, "good day"), (3, None), (4, "")], "doc_id long, text string")
