@@ -6,21 +6,25 @@ source at its share of the whole in every stretch, so that equal cuts of that or
 shards with the mixture of the whole.  Shard sizes differ by one row at most.
 
 No window spans a source or the whole: ranks are taken in cells whose number grows with
-the rows, and cell offsets come from counts.
+the rows, and cell offsets come from counts.  Rows that are repeated more often than a
+cell is meant to hold are dealt numbers, so that they too fall into many cells.
 
-Defined cases: a null source is a source of its own; ties of the shuffle are ordered by
-key, then content, and repeated rows are interchangeable; null text has size 16 and
+Defined cases: a null source is a source of its own; the shuffle's draw is made from
+seed, key, size and checksum; ties are ordered by key, then checksum, and repeated rows
+are interchangeable; null text has size 16 and
 checksum 0; with fewer rows than shards, some shards are empty; extra columns that are
 not asked for are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assay.llm.common import group_rank, has_columns, materialize, spread, text_or_empty
+from assay.llm.common import CELL_ROWS, group_rank, has_columns, materialize, spread, text_or_empty
 
 SHARDS = 40
 SEED = "shard-1"
@@ -33,12 +37,28 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.col(source).alias("source"))
 
 
+def draw(seed: str) -> Column:
+    """The place of a row in the shuffle, as 32 hex digits; _copy tells very often repeated rows apart."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id", "size", "text_crc32", "_copy")]).cast("binary"))
+
+
+def _numbered(rows: DataFrame, often: int = CELL_ROWS) -> DataFrame:
+    """written rows with _copy: null, but for rows repeated more than `often` times a number of which few of them have the same."""
+    same = ["doc_id", "size", "text_crc32", "source"]
+    repeated = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > often)  # rows / `often` at most
+    named = repeated.select(*[F.col(c).alias(f"_{c}") for c in same], "_n")
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same])
+    found = rows.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(named), equal, "left")
+    copy = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("_at"), F.ceil(F.col("_n") / 100)))
+    return found.select(*rows.columns, copy.alias("_copy"))
+
+
 def interleave(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """rows (as describe() makes them) with shard and slot; slots of a shard are gapless from 0."""
-    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string")).cast("binary"))
-    shuffled = materialize(rows.withColumn("_shuffle", draw))
-    n = shuffled.count()
+    rows = materialize(rows)
+    n = rows.count()
     cells = spread(n)
+    shuffled = materialize(_numbered(rows).withColumn("_shuffle", draw(seed)).drop("_copy"))
     cell = F.floor(F.conv(F.substring("_shuffle", 1, 8), 16, 10).cast("double") / 2**32 * cells)  # in the order of the draw
     ranked = group_rank(shuffled, "source", ["_shuffle", "doc_id", "text_crc32"], cells, "_rank", cell)
     placed = ranked.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_rank_of")).withColumn("_band", F.least(F.floor(F.col("_at") * cells), F.lit(cells - 1)).cast("int"))

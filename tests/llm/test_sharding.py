@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,6 +23,42 @@ def test_query_is_gapless_even_and_mixed(spark, sf_dir, table):
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
 
 
+def test_places_are_those_of_a_plain_interleaving(spark, sf_dir, table):
+    """Every row's shard and slot, by sorting each source by its draw and all rows by fractional rank."""
+    rows = []
+    for k, t, source in zip(table.doc_id, table.text, table.source, strict=True):
+        body = (t or "").encode()
+        named = [sharding.SEED, *([] if k is None else [str(k)]), str(len(body) + 16), str(zlib.crc32(body))]
+        rows.append((hashlib.md5(":".join(named).encode()).hexdigest(), k, zlib.crc32(body), source))
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[3]].append(r)
+    placed = []
+    for source, own in by_source.items():
+        for i, r in enumerate(sorted(own, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))):
+            placed.append(((i + 0.5) / len(own), source is not None, source or "", r[0], r[1] is not None, r[1] or 0, r[2]))
+    n = len(placed)
+    want, first = [], {}
+    for p, (*_, has_key, key, checksum) in enumerate(sorted(placed)):
+        shard = p * 40 // n
+        want.append((str(key if has_key else None), checksum, shard, p - first.setdefault(shard, p)))
+    got = [(str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in op7_sharding(spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_very_often_repeated_rows_fall_into_many_cells(spark, monkeypatch):
+    rows = spark.range(3_000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS doc_id", "CASE WHEN id % 2 = 0 THEN cast(id AS string) END AS text", "'s' AS source")
+    numbered = sharding._numbered(sharding.describe(rows).repartition(4), often=200)
+    assert numbered.where("doc_id IS NOT NULL AND _copy IS NOT NULL").count() == 0
+    assert numbered.where("doc_id IS NULL").select("_copy").distinct().count() > 10
+    monkeypatch.setattr(sharding, "spread", lambda n: 15)
+    monkeypatch.setattr(sharding._numbered, "__defaults__", (200,))
+    slots = defaultdict(list)
+    for r in sharding.interleave(sharding.describe(rows), 10).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(300)) for x in slots.values()) and len(slots) == 10
+
+
 def test_every_stretch_carries_each_source_at_its_share(spark, monkeypatch):
     rows = spark.range(6_000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "CASE WHEN id % 6 < 3 THEN 'hot' WHEN id % 6 < 5 THEN 'mid' END AS source")
     for per_cell in (50_000, 700):  # one cell, and many
