@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.detect import detect
+from assay.functions.durable import durable, forget_all
 from assay.functions.ship import ship
 from assay.functions.values import SEVERITIES
 from assay.plans.guard import scan
 from assay.plans.http import exit_code, to_json, to_text
 from assay.plans.policy import Policy
-from assay.sources.payloads import from_files, write_sanitized
+from assay.sources.payloads import from_files, write_sanitized, write_sanitized_file
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--no-sanitize", action="store_true")
     s.add_argument("--lenient-extension", action="store_true")
     s.add_argument("--json", action="store_true")
-    s.add_argument("--write-sanitized", metavar="PATH")
+    s.add_argument("--write-sanitized", metavar="PATH", help="the file that was put right; of several, a table")
     d = commands.add_parser("detect", help="the types of files")
     d.add_argument("files", nargs="+")
     d.add_argument("--json", action="store_true")
@@ -43,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     try:
         payloads = from_files(spark, args.files, getattr(args, "max_size", None))
-    except Exception as e:  # a path that cannot be listed
+    except AnalysisException as e:  # a path that cannot be listed
         print(str(e).splitlines()[0], file=sys.stderr)
         return 2
     if args.command == "detect":
@@ -55,12 +58,16 @@ def main(argv: list[str] | None = None) -> int:
     policy = Policy(allowed=args.allow, max_size=args.max_size, reject_threshold={v: k for k, v in SEVERITIES.items()}[args.threshold], sanitize_svg=not args.no_sanitize, strict_extension=not args.lenient_extension)
     if args.block is not None:
         policy = policy.with_(blocked=tuple(args.block))
-    results = scan(payloads, policy).cache()
+    results = durable(scan(payloads, policy))
     for row in (to_json(results) if args.json else to_text(results)).toLocalIterator():
         print(row[1])
-    if args.write_sanitized:
+    if args.write_sanitized and len(args.files) == 1 and not os.path.isdir(args.files[0]):
+        write_sanitized_file(results, args.write_sanitized)
+    elif args.write_sanitized:
         write_sanitized(results, args.write_sanitized)
-    return exit_code(results).first()["exit_code"]
+    code = exit_code(results).first()["exit_code"]
+    forget_all(spark)
+    return code
 
 
 if __name__ == "__main__":

@@ -134,7 +134,7 @@ _ENTRY = {
     "listed": "long", "bytes_in": "long", "bytes_out": "long", "name": "string", "size": "long", "packed": "long", "header_offset": "long", "name_bytes": "int", "flags": "int", "ext_attr": "long",
     "typeflag": "string", "is_dir": "boolean", "is_symlink": "boolean", "link_target": "string", "opened": "string", "measured": "string",
 }
-ENTRY = ", ".join(f"{k} {v}" for k, v in _ENTRY.items())
+ENTRY, COLUMNS = ", ".join(f"{k} {v}" for k, v in _ENTRY.items()), tuple(_ENTRY)
 _ZIP_ERRORS = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 
 

@@ -54,6 +54,7 @@ PAINTS = "fill stroke filter clip-path mask marker-start marker-mid marker-end m
 
 _ATTRIBUTE = "struct<raw:string,name:string,value:string>"
 NODE = f"payload_id string, node int, parent int, visit int, depth int, last int, ns string, local string, attributes array<{_ATTRIBUTE}>, style string, too_deep boolean, elements int, error string"
+COLUMNS = tuple(f.split(" ", 1)[0] for f in NODE.replace(_ATTRIBUTE, "").split(", "))
 
 
 @dataclass(frozen=True)

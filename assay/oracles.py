@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assay import derived
+from assay import derived, wrapped
 from assay.functions import names, paths, polyglot, registry, urls
 from assay.functions.binary import BRANDS, DIB_SIZES
 from assay.functions.text import HTML_TAGS
@@ -331,4 +331,8 @@ ORACLES: dict[str, str] = {
     "findings_rollup": f"{_PAGES}, x AS (SELECT k, unnest(each) AS c FROM v) SELECT 'text/html' AS mime, string_split(c, ':')[1] AS code, string_split(c, ':')[2]::INT AS severity, count(*) AS findings, count(DISTINCT k) AS payloads FROM x GROUP BY ALL",
     "accepted_split": f"{_PAGES} SELECT 'accepted' AS side, count(*) FILTER (len(errors) = 0) AS n FROM v UNION ALL SELECT 'rejected', count(*) FILTER (len(errors) > 0) FROM v",
     "exit_codes": f"{_PAGES} SELECT (CASE WHEN max(len(errors)) > 0 THEN 1 ELSE 0 END)::INT AS exit_code FROM v",
+    "stream_scan": f"{_PAGES} SELECT k, len(errors) = 0 AS ok, codes FROM v",
+    "container_kinds": wrapped.KINDS_SQL,
+    "archive_reports": wrapped.REPORTS_SQL,
+    "svg_scan": wrapped.DRAWINGS_SQL,
 }

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from assay.functions import names, paths, urls
+from assay.functions.ship import ship
+from assay.operators import archive, svg
 
 #: Functions of one value; expressions without lambdas, which have no SQL text.
 EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
@@ -22,10 +25,35 @@ EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+class ArchiveEntries:
+    """archive_entries(payload_id, kind, content): the rows of one archive, as operators.archive lists them."""
+
+    def eval(self, payload_id: str, kind: str, content: bytes):
+        if kind is None or content is None:
+            return
+        limits = archive.ArchiveLimits()
+        rows = archive.list_zip(payload_id, content, limits)[0] if kind == "zip" else archive.list_stream(payload_id, content, kind, limits)
+        for row in rows:
+            yield tuple(row.get(c) for c in archive.COLUMNS)
+
+
+class SvgNodes:
+    """svg_nodes(payload_id, content): the elements of one SVG file, as operators.svg lists them."""
+
+    def eval(self, payload_id: str, content: bytes):
+        if content is None:
+            return
+        for row in svg.list_nodes(payload_id, content, svg.SvgPolicy().max_depth):
+            yield tuple(row.get(c) for c in svg.COLUMNS)
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Create temporary SQL functions from the expressions; returns their names."""
+    """Create temporary SQL functions from the expressions, and table functions over single files; returns their names."""
+    ship(spark)
     for name, build in EXPRESSIONS.items():
         body = spark.range(1).select(F.lit("x").alias("value")).select(build(F.col("value")).alias("e"))
         text = body._jdf.queryExecution().analyzed().expressions().head().child().sql()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURN {text}")
-    return list(EXPRESSIONS)
+    spark.udtf.register("archive_entries", udtf(ArchiveEntries, returnType=archive.ENTRY))
+    spark.udtf.register("svg_nodes", udtf(SvgNodes, returnType=svg.NODE))
+    return [*EXPRESSIONS, "archive_entries", "svg_nodes"]

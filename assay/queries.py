@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import tarfile
-import zipfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay import derived
+from assay import derived, wrapped
 from assay.functions import names, paths, polyglot, registry, text, urls
 from assay.functions.binary import binary_kind
 from assay.functions.detect import kind_struct, with_kind
-from assay.functions.durable import durable
+from assay.functions.durable import durable, shared_dir
 from assay.functions.values import latin, part
 from assay.operators import archive, svg
 from assay.plans import guard, http
 from assay.plans.policy import Policy
 from assay.sources.payloads import from_table
+from assay.streaming import drops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 POLICY = Policy()
@@ -260,11 +257,25 @@ def archive_rollup(spark, sf_dir):
 # ---------------------------------------------------------------- verdicts
 
 
-def _simple(spark, sf_dir) -> DataFrame:
-    pages = derived.table(spark, sf_dir, "pages")
+def _page_payloads(pages: DataFrame) -> DataFrame:
     name = F.concat(F.regexp_extract("url", "([^/?]*)(?:\\?.*)?$", 1), derived.by_case(F.col("page_id"), [F.lit(e) for e in (".html", ".htm", ".png", "", ".php.html", ".txt")]))
     declared = derived.by_case(F.col("page_id"), [F.lit(c) for c in ("text/html", "text/plain", "image/png", "")])
-    return guard.scan_simple(from_table(pages, "html", "page_id", name, declared), POLICY)
+    return from_table(pages, "html", "page_id", name, declared)
+
+
+def _simple(spark, sf_dir) -> DataFrame:
+    return guard.scan_simple(_page_payloads(derived.table(spark, sf_dir, "pages")), POLICY)
+
+
+@query
+def stream_scan(spark, sf_dir):
+    """The pages as a stream of files, triaged batch by batch into a folder of the shared one; then what the folder holds."""
+    at = f"{sf_dir}/pages.parquet"
+    pages = spark.readStream.schema(derived.table(spark, sf_dir, "pages").schema).parquet(at)
+    run = f"{shared_dir(spark).rstrip('/')}/assay-stream-{uuid.uuid4().hex}"
+    drops.run(_page_payloads(pages), f"{run}/out", f"{run}/checkpoint", POLICY).awaitTermination()
+    found = spark.read.schema(guard.scan(_page_payloads(derived.table(spark, sf_dir, "pages")).limit(0), POLICY).schema).option("recursiveFileLookup", "true").parquet(f"{run}/out")
+    return found.select(F.col("payload_id").cast("long").alias("k"), "ok", coded(F.col("findings")).alias("codes"))
 
 
 @query
@@ -298,67 +309,31 @@ def exit_codes(spark, sf_dir):
 # ---------------------------------------------------------------- what has no SQL form
 
 
-def _wrapped(spark, sf_dir) -> DataFrame:
-    """payloads(payload_id, filename, content): each document inside a ZIP, tar, gzip, Word, SVG or OLE2 file."""
-
-    def wrap(k: int, body: bytes) -> tuple[str, bytes]:
-        def zipped(*entries) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for n, b in entries:
-                    z.writestr(zipfile.ZipInfo(n), b)
-            return out.getvalue()
-
-        def tarred(mode: str) -> bytes:
-            out = io.BytesIO()
-            with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
-                info = tarfile.TarInfo("../x" if k % 16 == 1 else "x")
-                info.size = len(body)
-                t.addfile(info, io.BytesIO(body))
-            return gzip.compress(out.getvalue(), mtime=0) if mode else out.getvalue()
-
-        image = b'<svg xmlns="http://www.w3.org/2000/svg" onload="x()"><script>1</script><text>' + body.replace(b"&", b"").replace(b"<", b"") + b"</text></svg>"
-        return [
-            lambda: ("a.zip", zipped(("x.txt", body), ("../y", b"1"))),
-            lambda: ("a.tar", tarred("")),
-            lambda: ("a.tgz", tarred("gz")),
-            lambda: ("a.gz", gzip.compress(body, mtime=0)),
-            lambda: ("a.docx", zipped(("word/document.xml", body))),
-            lambda: ("a.svg", image),
-            lambda: ("a.zip", zipped(("in.zip", zipped(("x", body))), ("x.7z", b"1"))),
-            lambda: ("a.svgz", gzip.compress(image, mtime=0)),
-        ][k % 8]()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(str(k), *wrap(k, b)) for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["payload_id", "filename", "content"])
-
-    rows = derived.table(spark, sf_dir, "documents").select(F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    return rows.mapInArrow(run, "payload_id string, filename string, content binary")
-
-
 @query
 def container_kinds(spark, sf_dir):
-    return with_kind(_wrapped(spark, sf_dir)).select("payload_id", "kind")
+    return with_kind(wrapped.wrapped(spark, sf_dir)).select("payload_id", "kind")
 
 
 @query
 def archive_reports(spark, sf_dir):
-    rows = with_kind(_wrapped(spark, sf_dir), to="_kind")
+    """What each archive holds, as it is reported, and what is wrong with it."""
+    rows = with_kind(wrapped.wrapped(spark, sf_dir), to="_kind")
     rows = rows.withColumn("archive", archive.archive_kind(kind_struct(F.col("_kind"))["mime"], F.col("content")))
     found = archive.inspect(durable(rows))  # looked into once; the report reads it several times
-    return found.select("payload_id", "archive.*", coded(F.col("archive_findings")).alias("codes"))
+    report = ["archive.format", F.col("archive.entry_count").cast("long").alias("entry_count"), "archive.total_uncompressed", F.col("archive.max_depth").cast("int").alias("max_depth")]
+    return found.select("payload_id", *report, F.array_join("archive.nested_archives", ",").alias("nested"), F.array_join("archive.unsafe_paths", ",").alias("unsafe"), coded(F.col("archive_findings")).alias("codes"))
 
 
 @query
 def svg_scan(spark, sf_dir):
-    return svg.scan_svg(_wrapped(spark, sf_dir).where("filename = 'a.svg'")).select("payload_id", coded(F.col("svg_findings")).alias("codes"))
+    """Codes of every document inside an SVG file, sorted."""
+    each = F.transform("svg_findings", lambda f: F.concat_ws(":", f["code"], f["severity"].cast("string")))
+    return svg.scan_svg(wrapped.drawings(spark, sf_dir)).select("payload_id", F.array_join(F.array_sort(each), ",").alias("codes"))
 
 
 @query
 def svg_sanitize(spark, sf_dir):
-    return svg.sanitize_svg(_wrapped(spark, sf_dir).where("filename = 'a.svg'")).select("payload_id", coded(F.col("svg_findings")).alias("codes"), F.sha2("sanitized", 256).alias("sanitized_sha256"))
+    return svg.sanitize_svg(wrapped.drawings(spark, sf_dir)).select("payload_id", coded(F.col("svg_findings")).alias("codes"), F.sha2("sanitized", 256).alias("sanitized_sha256"))
 
 
 @query
@@ -369,5 +344,5 @@ def safe_filename_nfkc(spark, sf_dir):
 @query
 def triage(spark, sf_dir):
     """The whole policy over wrapped documents."""
-    rows = guard.scan(_wrapped(spark, sf_dir), POLICY)
+    rows = guard.scan(wrapped.wrapped(spark, sf_dir), POLICY)
     return rows.select("payload_id", "ok", "safe_filename", F.col("detected.mime").alias("mime"), coded(F.col("findings")).alias("codes"))

@@ -33,7 +33,11 @@ def from_files(spark: SparkSession, paths: str | list[str], max_size: int | None
 
 
 def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Payloads of files without bytes, found by Hadoop's file listing; there are few of them or the listing is the limit."""
+    """Payloads of files without bytes, found by Hadoop's file listing.
+
+    The listing is walked on the driver, as Spark's readers list no empty file: for very
+    many files call from_files with empty_files=False.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     found = []
     for p in paths:
@@ -95,3 +99,14 @@ def read_capped(content: Column, cap: int) -> Column:
 def write_sanitized(results: DataFrame, path: str) -> None:
     """(safe_filename, sanitized) of the files that were put right, as Parquet."""
     results.where(F.col("sanitized").isNotNull()).select("payload_id", "safe_filename", "sanitized").write.mode("overwrite").parquet(path)
+
+
+def write_sanitized_file(results: DataFrame, path: str) -> bool:
+    """The bytes of the one file that was put right, at a path of the driver; False if there is none, ValueError if there are several."""
+    found = results.where(F.col("sanitized").isNotNull()).select("sanitized").limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("several files were put right: write_sanitized stores them as a table")
+    for row in found:
+        with open(path, "wb") as out:
+            out.write(row["sanitized"])
+    return bool(found)

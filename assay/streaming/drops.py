@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from assay.functions.ship import ship
 from assay.plans.guard import scan, scan_simple
 from assay.plans.policy import Policy
 
@@ -26,6 +27,8 @@ def scan_stream(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  #
 def run(payloads: DataFrame, out: str, checkpoint: str, policy: Policy = Policy(), **trigger) -> StreamingQuery:  # noqa: B008
     """Full results of each batch, appended to Parquet in a folder for the batch; a batch that is run again replaces its own."""
 
+    ship(payloads.sparkSession)
+
     def write(batch: DataFrame, number: int) -> None:
         scan(batch.drop("modificationTime"), policy).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
@@ -33,5 +36,5 @@ def run(payloads: DataFrame, out: str, checkpoint: str, policy: Policy = Policy(
 
 
 def rejection_rates(results: DataFrame, at: str = "modificationTime", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Rejected and all payloads by window; results need the time of arrival."""
+    """Rejected and all payloads by window, from results with the time of arrival in `at`; late ones are let in for so long."""
     return results.withWatermark(at, late).groupBy(F.window(at, width)).agg(F.count_if(~F.col("ok")).alias("rejected"), F.count(F.lit(1)).alias("payloads"))
