@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ DETECTED = "struct<mime:string,extensions:array<string>,description:string,categ
 
 
 def kind_struct(key: Column) -> Column:
-    """struct<mime, extensions, description, category> of a type's key; null is the unknown type."""
-    whole = lambda k: F.struct(F.lit(k.mime).alias("mime"), F.array(*[F.lit(e) for e in k.extensions]).cast("array<string>").alias("extensions"), F.lit(k.description).alias("description"), F.lit(k.category).alias("category"))
-    kinds = F.create_map(*[x for k in KINDS.values() for x in (F.lit(k.key), whole(k))])
-    return F.coalesce(F.try_element_at(kinds, key), whole(UNKNOWN))
+    """struct<mime, extensions, description, category> of a type's key; null is the unknown type.
+
+    The types come as one JSON text, which the optimizer turns into a literal map: column
+    by column they would be thousands of calls to the JVM for each plan.
+    """
+    whole = lambda k: {"mime": k.mime, "extensions": list(k.extensions), "description": k.description, "category": k.category}
+    kinds = F.from_json(F.lit(json.dumps({k.key: whole(k) for k in KINDS.values()})), f"map<string,{DETECTED}>")
+    return F.coalesce(F.try_element_at(kinds, key), F.from_json(F.lit(json.dumps(whole(UNKNOWN))), DETECTED))
 
 
 def with_kind(payloads: DataFrame, content: str = "content", to: str = "kind", containers: bool = True) -> DataFrame:

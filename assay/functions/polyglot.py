@@ -84,12 +84,13 @@ def embedded(content: Column, detected: Column, limit: int = 1 << 20, markers: l
     def in_order(text: Column) -> Column:
         if markers is not None:
             return findings(*[one(text, n) for n in markers])
+        made = {n: one(text, n) for n in MARKERS}
         groups: dict[tuple, list[str]] = {}
         for category, names in CATEGORY_MARKERS.items():
             groups.setdefault(tuple(names), []).append(category)
         out = None
         for names, categories in groups.items():
-            found = findings(*[one(text, n) for n in names])
+            found = findings(*[made[n] for n in names])
             if "unknown" in categories:  # and any category that has no list
                 return out.otherwise(found)
             here = detected["category"].isin(*categories)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,7 +42,8 @@ def latin(content: Column) -> Column:
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A map of texts without tabs and line feeds; one text for all, as each literal is a call to the JVM."""
+    return F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in pairs.items())), F.lit("\n"), F.lit("\t"))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -50,10 +52,12 @@ def any_of(conditions: list[Column]) -> Column:
 
 def finding(when: Column, code, severity, message, detail: dict[str, Column] | None = None, remediated: Column | None = None) -> Column:
     """A finding where the condition holds, else null.  Detail values are written as JSON would write them."""
+    plain = {n: v for n, v in (("code", code), ("severity", severity), ("message", message)) if not isinstance(v, Column)}
+    if len(plain) == 3 and not detail and remediated is None:
+        return F.when(when, F.from_json(F.lit(json.dumps({**plain, "detail": {}, "remediated": False})), FINDING))
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     pairs = [x for k, v in (detail or {}).items() for x in (F.lit(k), v.cast("string"))]
-    detail_column = (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
-    fields = (as_column(code).alias("code"), as_column(severity).cast("int").alias("severity"), as_column(message).alias("message"), detail_column.alias("detail"), (F.lit(False) if remediated is None else remediated).alias("remediated"))
+    fields = (as_column(code), as_column(severity), as_column(message), F.create_map(*pairs) if pairs else F.create_map(), F.lit(False) if remediated is None else remediated)
     return F.when(when, F.struct(*fields).cast(FINDING))
 
 

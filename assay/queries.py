@@ -270,7 +270,7 @@ def _simple(spark, sf_dir) -> DataFrame:
 @query
 def stream_scan(spark, sf_dir):
     """The pages as a stream of files, triaged batch by batch into a folder of the shared one; then what the folder holds."""
-    at = f"{sf_dir}/pages.parquet"
+    at = f"{sf_dir}/pages.parquet*"  # a pattern, as the table may be one file
     pages = spark.readStream.schema(derived.table(spark, sf_dir, "pages").schema).parquet(at)
     run = f"{shared_dir(spark).rstrip('/')}/assay-stream-{uuid.uuid4().hex}"
     drops.run(_page_payloads(pages), f"{run}/out", f"{run}/checkpoint", POLICY).awaitTermination()
