@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from assay.functions.durable import durable as materialize
 from assay.functions.durable import forget, shared_dir, written
+from assay.functions.ship import ship
 
 __all__ = ["CELL_ROWS", "components", "group_rank", "has_columns", "materialize", "schema_of", "shared_dir", "spread", "text_or_empty"]
 
@@ -21,6 +22,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def has_columns(df: DataFrame, *names: str) -> None:
+    """Every operator begins here: df has the columns, and executors have the package."""
+    ship(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
