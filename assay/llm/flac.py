@@ -490,7 +490,7 @@ def encode(rows: DataFrame, key: str = "doc_id", content: str = "content") -> Da
     return rows.select(F.col(key).cast("long").alias(key), body.alias("content")).mapInArrow(run, f"`{key}` long, n_bytes long, media binary")
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `size` bytes of the column, one row at least."""
     first, total = 0, 0
     for i, v in enumerate(batch.column(column)):
@@ -500,6 +500,34 @@ def _parts(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[
             first, total = i + 1, 0
 
 
+def _block_batches(batches: Iterator[pa.RecordBatch], carried: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, media, carried columns) as batches of (key, block, sample_offset, n_samples, pcm, carried columns)."""
+    names = ["key", "block", "sample_offset", "n_samples", "pcm", *(f"c{i}" for i in range(carried))]
+    for batch in batches:
+        for part in _parts(batch, 1):
+            counts, firsts, offsets, sizes, pcm = [], [], [], [], []
+            for info, found in decode_many(part.column(1).to_pylist()):
+                counts.append(len(found))
+                lengths = np.array([len(b) for b in found], np.int64)
+                firsts.append(np.arange(len(found)))
+                offsets.append(np.cumsum(lengths) - lengths)
+                sizes.append(lengths)
+                pcm += [_interleaved([b], info.bits) for b in found] if info.bits > 8 else _bytes_of(found)
+            if pcm:
+                first, row = np.concatenate(firsts), np.repeat(np.arange(len(counts)), counts)
+                own = pa.array(row, mask=first > 0)
+                columns = [part.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(np.concatenate(offsets), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(pcm, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *[part.column(2 + i).take(own) for i in range(carried)]], names=names)
+
+
+def _typed(df: DataFrame, *names: str) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _named(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    return (b.rename_columns(names) for b in batches)
+
+
 def blocks(media: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, block, sample_offset, n_samples, pcm, carried): a row per block; pcm has whole-byte signed samples, channels interleaved.
 
@@ -507,27 +535,9 @@ def blocks(media: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ())
     named in `carried` stand in the row of block 0 and are null in the others.
     """
     names = [key, "block", "sample_offset", "n_samples", "pcm", *carried]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch, 1):
-                counts, firsts, offsets, sizes, pcm = [], [], [], [], []
-                for info, found in decode_many(part.column(1).to_pylist()):
-                    counts.append(len(found))
-                    lengths = np.array([len(b) for b in found], np.int64)
-                    firsts.append(np.arange(len(found)))
-                    offsets.append(np.cumsum(lengths) - lengths)
-                    sizes.append(lengths)
-                    pcm += [_interleaved([b], info.bits) for b in found] if info.bits > 8 else _bytes_of(found)
-                if pcm:
-                    first, row = np.concatenate(firsts), np.repeat(np.arange(len(counts)), counts)
-                    own = pa.array(row, mask=first > 0)
-                    columns = [part.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(np.concatenate(offsets), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(pcm, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*columns, *[part.column(2 + i).take(own) for i in range(len(carried))]], names=names)
-
     kept = media.select(key, "media", *carried)
-    types = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in carried)
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, block int, sample_offset long, n_samples int, pcm binary{types}")
+    run = lambda batches: _named(_block_batches(batches, len(carried)), names)
+    return kept.mapInArrow(run, f"{_typed(kept, key)[2:]}, block int, sample_offset long, n_samples int, pcm binary{_typed(kept, *carried)}")
 
 
 def _bytes_of(found: list[np.ndarray]) -> list[bytes]:
@@ -546,48 +556,58 @@ def features(samples: np.ndarray) -> str:
     return f"{-(-len(samples) // BLOCK)}:{int(np.abs(samples).max(initial=0))}:{crossings}:{int((samples * samples).sum())}"
 
 
+_DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_blocks", "last_offset")
+_DIGEST_TYPES = ", payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_blocks long, last_offset long"
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as _block_batches() gives them as batches of a row per stream, block after block."""
+    held, own, at, last, types = [], None, 0, 0, []  # of the stream that goes on: its blocks, its first row, where the next block starts, where the last did
+
+    def finish() -> tuple:
+        signed = b"".join(held)
+        samples = np.frombuffer(signed, np.int8).astype(np.int64)
+        payload = (samples + 128).astype(np.uint8).tobytes()
+        return (own[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), features(samples), len(held), last, *own[1:])
+
+    for batch in batches:
+        types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[batch.schema.field(i).type for i in range(5, batch.num_columns)]]
+        key_of, block, offset, _, pcm, *more = (c.to_pylist() for c in batch.columns)
+        out = []
+        for i, b in enumerate(block):
+            if b == 0:
+                if own is not None:
+                    out.append(finish())
+                held, own, at = [], (key_of[i], *[c[i] for c in more]), 0
+            if offset[i] != at:
+                raise ValueError("a block is out of place")
+            held.append(pcm[i])
+            last, at = at, at + len(pcm[i])
+        if out:
+            yield _batch(out, types)
+    if own is not None:
+        yield _batch([finish()], types)
+
+
 def digest(rows: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, payload_bytes, payload_sha256, tail_crc32, feature, n_blocks, last_offset, carried) of each 8-bit mono stream, from rows as blocks() gives them.
 
     Blocks are put in a row as their offsets say; one that is out of place raises ValueError.
     """
-    names = [key, "payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_blocks", "last_offset", *carried]
+    kept = rows.select(key, "block", "sample_offset", F.lit(0).alias("n_samples"), "pcm", *carried)
+    run = lambda batches: _named(_digest_batches(batches), [key, *_DIGEST, *carried])
+    return kept.mapInArrow(run, f"{_typed(kept, key)[2:]}{_DIGEST_TYPES}{_typed(kept, *carried)}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own, at, last = [], None, 0, 0  # of the stream that goes on: its blocks, its first row, where the next block starts, where the last did
 
-        def finish() -> tuple:
-            signed = b"".join(held)
-            samples = np.frombuffer(signed, np.int8).astype(np.int64)
-            payload = (samples + 128).astype(np.uint8).tobytes()
-            return (own[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), features(samples), len(held), last, *own[1:])
+def read_back(media: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """digest(blocks(media)): streams as PCM blocks, and these as digests, in one worker."""
+    kept = media.select(key, "media", *carried)
+    run = lambda batches: _named(_digest_batches(_block_batches(batches, len(carried))), [key, *_DIGEST, *carried])
+    return kept.mapInArrow(run, f"{_typed(kept, key)[2:]}{_DIGEST_TYPES}{_typed(kept, *carried)}")
 
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        for batch in batches:
-            types[0], out = batch.schema.field(0).type, []
-            tails = [batch.schema.field(4 + i).type for i in range(len(carried))]
-            key_of, block, offset, pcm = (batch.column(i).to_pylist() for i in range(4))
-            for i, b in enumerate(block):
-                if b == 0:
-                    if own is not None:
-                        out.append(finish())
-                    held, own, at = [], (key_of[i], *[batch.column(4 + c)[i].as_py() for c in range(len(carried))]), 0
-                if offset[i] != at:
-                    raise ValueError("a block is out of place")
-                held.append(pcm[i])
-                last, at = at, at + len(pcm[i])
-            if out:
-                yield _batch(out, [*types, *tails], names)
-        if own is not None:
-            yield _batch([finish()], [*types, *tails], names)
-
-    kept = rows.select(key, "block", "sample_offset", "pcm", *carried)
-    kinds = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in carried)
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_blocks long, last_offset long{kinds}")
-
-
-def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[str(i) for i in range(len(types))])
 
 
 def excerpt(media: DataFrame, first: Column, last: Column, key: str = "doc_id") -> DataFrame:

@@ -83,7 +83,7 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", flac.payload_column("text").alias("content"))
     carried = ("n_bytes", "media_bytes", "media_sha256")
     media = flac.encode(docs).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    found = flac.digest(flac.blocks(media, carried=carried), carried=carried)
+    found = flac.read_back(media, carried=carried)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset")
 
 

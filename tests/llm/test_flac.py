@@ -132,6 +132,8 @@ def test_query_reads_every_text_back(spark, sf_dir, empty_dir, table):
 
 def test_blocks_carry_seekable_offsets(spark):
     rows = spark.createDataFrame([(1, bytearray(flac.pad(b"x" * 1_000)))], "doc_id long, content binary")
+    media = flac.encode(rows)
+    assert flac.read_back(media, carried=("n_bytes",)).collect() == flac.digest(flac.blocks(media, carried=("n_bytes",)), carried=("n_bytes",)).collect() != []
     found = flac.blocks(flac.encode(rows)).orderBy("block").collect()
     assert [(r["block"], r["sample_offset"], r["n_samples"], len(r["pcm"])) for r in found] == [(0, 0, 576, 576), (1, 576, 576, 576)]
 
