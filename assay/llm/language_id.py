@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assay.llm.common import has_columns
+from assay.llm.common import has_columns, materialize
 
 UNKNOWN = "und"
 PROFILE_SIZE = 400
 #: The profiles learn from about this many documents of each language, chosen by a hash of their key.
 ROWS_PER_LANGUAGE = 2_000
+#: Profiles are broadcast: a table with more values of lang than this is refused.
+MOST_LANGUAGES = 10_000
 _EDGE = 1  # stands for a word boundary in gram codes; not a letter
 
 
@@ -67,9 +69,11 @@ def build_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     """profiles(lang, code, rank) from labelled rows (gram_text() reads a code); rows without text or language teach nothing."""
     has_columns(labelled, key, text, lang)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different languages: {lang} does not name languages")
     share = F.pmod(F.xxhash64(F.lit("profile"), F.coalesce("key", F.lit(""))), F.lit(1_000_000)) < F.lit(1_000_000.0 * rows_per_language) / F.col("rows")
-    chosen = rows.join(F.broadcast(sizes), "lang").where(share)  # a row for each language
+    chosen = rows.join(F.broadcast(sizes), "lang").where(share)  # MOST_LANGUAGES rows at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

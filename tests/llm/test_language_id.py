@@ -3,6 +3,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from assay.llm import language_id
 from assay.llm.queries import op1_language_id
 
@@ -64,3 +66,11 @@ def test_no_profiles_and_no_rows(spark, empty_dir, docs):
     found = language_id.identify(docs, language_id.build_profiles(docs.limit(0)))
     assert {r["lang_pred"] for r in found.collect()} == {"und"}
     assert found.columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+
+
+def test_a_language_for_each_row_is_refused(spark, monkeypatch):
+    rows = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "cast(id AS string) AS lang")
+    assert language_id.build_profiles(rows).count() > 0
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 10)
+    with pytest.raises(ValueError, match="different languages"):
+        language_id.build_profiles(rows)
