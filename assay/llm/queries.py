@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.ship import ship
-from assay.llm import embedding_dedup, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, toxicity
+from assay.llm import embedding_dedup, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, tokenizer_alignment, toxicity
 from assay.llm.common import shared_dir
 
 
@@ -97,6 +97,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenizer_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flac": op8_flac,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 
