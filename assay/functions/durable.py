@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder, for files that tasks write themselves; forget() and forget_all() delete it."""
+    path = f"{shared_dir(spark).rstrip('/')}/assay-{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written to the shared folder and read back, and its path."""
     spark = df.sparkSession
