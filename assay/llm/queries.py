@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.ship import ship
-from assay.llm import embedding_dedup, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, tokenizer_alignment, toxicity
+from assay.llm import embedding_dedup, embedding_whitening, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, tokenizer_alignment, toxicity, warc
 from assay.llm.common import shared_dir
 
 
@@ -103,6 +103,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -115,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_packing": op10_packing,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_warc": op13_warc,
 }
 
 
