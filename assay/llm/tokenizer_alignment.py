@@ -50,7 +50,7 @@ TOGETHER = 1 << 21
 #: Characters of a run without white space from which on it is cut.
 LONG_RUN = 4096
 #: Bytes of words that a worker process remembers, about.
-REMEMBERED = 160 << 20
+REMEMBERED = 96 << 20
 #: Pairs with counts that a task holds before it passes them on.
 COUNTED = 1 << 21
 #: Links that one group of a stripe scores at most, about.
@@ -284,8 +284,30 @@ class Codes:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (b % self.stripes) * self.per_stripe + (b // self.stripes) * self.n_a + a
 
-    def matrix(self) -> np.ndarray:
-        return np.zeros(self.per_stripe, np.int64)
+
+
+class Matrix:
+    """The counts of one stripe: a row for each id of B, a column for each of A.  Memory is taken up where something is counted."""
+
+    def __init__(self, codes: Codes):
+        self.n_a, self.cells, self.used = codes.n_a, np.zeros(codes.per_stripe, np.int64), np.zeros(codes.rows, bool)
+
+    def add(self, block: bytes) -> None:
+        pairs, counts = unpacked(block, 2)
+        np.add.at(self.cells, pairs, counts)
+        self.used[pairs // self.n_a] = True
+
+    def most(self) -> np.ndarray:
+        """The highest count of each row."""
+        rows, out = self.cells.reshape(-1, self.n_a), np.zeros(len(self.used), np.int64)
+        for i in np.flatnonzero(self.used):
+            out[i] = rows[i].max()
+        return out
+
+    def counted(self) -> np.ndarray:
+        """The pairs that have counts."""
+        rows = self.cells.reshape(-1, self.n_a)
+        return np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(rows[i]) + i * self.n_a for i in np.flatnonzero(self.used))])
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -487,16 +509,16 @@ def totals(counts: DataFrame, codes: Codes) -> DataFrame:
         matrix, now = None, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(matrix)
-            blocks = [packed(at[i : i + COUNTED], matrix[at[i : i + COUNTED]]) for i in range(0, len(at), COUNTED)]
+            at = matrix.counted()
+            blocks = [packed(at[i : i + COUNTED], matrix.cells[at[i : i + COUNTED]]) for i in range(0, len(at), COUNTED)]
             yield pa.RecordBatch.from_pydict({"part": pa.array([now[1]] * len(blocks), pa.int32()), "stripe": pa.array([now[0]] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
         for stripe, part, block in _streams(batches, "stripe", "part", "block"):
             if (stripe, part) != now:
                 if now is not None:
                     yield from done()
-                matrix, now = codes.matrix(), (stripe, part)
-            np.add.at(matrix, *unpacked(block, 2))
+                matrix, now = Matrix(codes), (stripe, part)
+            matrix.add(block)
         if now is not None:
             yield from done()
 
@@ -521,14 +543,14 @@ def scored(raw: DataFrame, codes: Codes) -> DataFrame:
         matrix, best, now = None, None, None
         for stripe, part, row, block in _streams(batches, "stripe", "part", "row", "block"):
             if (stripe, part) != now:
-                matrix, best, now = codes.matrix(), None, (stripe, part)
+                matrix, best, now = Matrix(codes), None, (stripe, part)
             if row is None:
-                np.add.at(matrix, *unpacked(block, 2))
+                matrix.add(block)
                 continue
             if best is None:
-                best = matrix.reshape(codes.rows, codes.n_a).max(axis=1)
+                best = matrix.most()
             pairs, docs, times = unpacked(block, 3)
-            count = matrix[pairs]
+            count = matrix.cells[pairs]
             first = np.flatnonzero(np.diff(docs, prepend=-1))
             yield pa.RecordBatch.from_arrays([pa.array(docs[first] + row), pa.array(np.add.reduceat(times * (count == best[pairs // codes.n_a]), first)), pa.array(np.add.reduceat(times * count, first))], names=["row", "n_best", "count_sum"])
 
