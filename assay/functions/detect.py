@@ -29,13 +29,15 @@ def with_kind(payloads: DataFrame, content: str = "content", to: str = "kind", c
     """payloads with the key of each one's type.
 
     With containers, ZIP, OLE2 and gzip files are looked into; only such rows leave the JVM.
+    Located payloads (sources.ranged) bring the names inside along, and content is their beginning.
     """
     body = F.col(content)
+    listed, streams = (F.col(c) if c in payloads.columns else None for c in ("listed", "streams"))
     inside = {}
     if containers:
         from assay.operators.containers import gzip_kind, ole_kind, zip_kind
 
-        payloads = payloads.withColumn("_zip", zip_kind(body)).withColumn("_ole", ole_kind(body)).withColumn("_gzip", gzip_kind(body))
+        payloads = payloads.withColumn("_zip", zip_kind(body, listed)).withColumn("_ole", ole_kind(body, streams)).withColumn("_gzip", gzip_kind(body))
         inside = {"zip_kind": F.col("_zip"), "ole_kind": F.col("_ole"), "gzip_kind": F.col("_gzip")}
     by_bytes = payloads.withColumn("_bytes", binary_kind(body, **inside)).drop("_zip", "_ole", "_gzip")
     # the text of rows that bytes have settled is not looked at

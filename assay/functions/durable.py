@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("assay_scope", default=None)
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables and folders that are written inside are deleted at the end, also after an error: for work whose result is stored inside.
+
+    Scopes may stand in one another and side by side in threads; each deletes its own.
+    """
+    own: list[str] = []
+    before = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        forget(spark, *own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession, kind: str) -> str:
     """A new folder's name in the shared folder, for files that tasks write themselves; forget() and forget_all() delete it."""
     path = f"{shared_dir(spark).rstrip('/')}/assay-{kind}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _note(spark, path)
     return path
 
 
@@ -33,8 +58,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written to the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/assay-{uuid.uuid4().hex}"
+    _note(spark, path)  # before it is there: what a failed job leaves goes too
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

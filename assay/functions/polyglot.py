@@ -106,12 +106,12 @@ def _after_last(tail: Column, mark: str) -> Column:
     return F.when(at > 0, at - 1)
 
 
-def trailing(content: Column, detected: Column, size: Column | None = None, tail_size: int = TAIL) -> Column:
-    """array<finding> about bytes after the end of a PNG, JPEG, GIF or PDF."""
+def trailing(content: Column, detected: Column, size: Column | None = None, tail_size: int = TAIL, end: Column | None = None) -> Column:
+    """array<finding> about bytes after the end of a PNG, JPEG, GIF or PDF; end: the last bytes, where they stand in a column of their own."""
     size = F.octet_length(content) if size is None else size
     mime = detected["mime"]
     png, jpeg, gif, pdf = (mime == m for m in ("image/png", "image/jpeg", "image/gif", "application/pdf"))
-    tail = latin(F.substring(content, F.greatest(F.lit(1), size - (tail_size - 1)).cast("int"), F.lit(tail_size)))
+    tail = latin(F.substring(content, F.greatest(F.lit(1), size - (tail_size - 1)).cast("int"), F.lit(tail_size)) if end is None else end)
 
     def about(tail: Column) -> Column:
         n = F.length(tail)

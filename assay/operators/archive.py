@@ -9,7 +9,7 @@ are rolled up level by level.
 from __future__ import annotations
 
 import bz2
-import io
+import itertools
 import lzma
 import zipfile
 import zlib
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assay.functions.durable import durable
-from assay.functions.ship import ship
 from assay.functions.paths import nested_archive, unsafe_link, unsafe_member
+from assay.functions.ship import ship
+from assay.functions.stores import Ranged, opened, seekable
 from assay.functions.values import CRITICAL, FINDING, HIGH, LOW, MEDIUM, any_of, finding
 
 CHUNK = 64 * 1024
@@ -64,7 +65,7 @@ class Unpacked:
 
     _MAKE = {"gzip": lambda: zlib.decompressobj(wbits=31), "bzip2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(format=lzma.FORMAT_AUTO)}
 
-    def __init__(self, data: bytes, kind: str, cap: int):
+    def __init__(self, data: bytes | Ranged, kind: str, cap: int):
         self.total, self.cap, self._held = 0, cap, bytearray()
         self._pieces = self._stored(data) if kind == "tar" else self._gzip(data) if kind == "gzip" else self._members(data, kind)
 
@@ -168,11 +169,14 @@ def _measure(z: zipfile.ZipFile, entry: zipfile.ZipInfo, cap: int) -> str:
     return "fits"
 
 
-def list_zip(payload: str, content: bytes, limits: ArchiveLimits, container: str = "", parent: str | None = None, parent_idx: int | None = None, depth: int = 0) -> tuple[list[dict], int, bool]:
-    """Rows of a ZIP file (first its container's, idx -1) and of ZIP files in it; bytes they unpack to; whether it was cut short."""
+def list_zip(payload: str, content: bytes | Ranged, limits: ArchiveLimits, container: str = "", parent: str | None = None, parent_idx: int | None = None, depth: int = 0) -> tuple[list[dict], int, bool]:
+    """Rows of a ZIP file (first its container's, idx -1) and of ZIP files in it; bytes they unpack to; whether it was cut short.
+
+    Where sizes are verified, entries of a file that is read by position are only marked as due: measured() deals them to tasks.
+    """
     own = {"payload_id": payload, "container": container, "parent": parent, "parent_idx": parent_idx, "depth": depth, "format": "zip"}
     try:
-        z = zipfile.ZipFile(io.BytesIO(content))
+        z = zipfile.ZipFile(seekable(content))
         entries = z.infolist()
     except _ZIP_ERRORS as e:
         return [own | {"idx": -1, "status": "corrupt", "message": str(e), "listed": 0}], 0, False
@@ -216,6 +220,9 @@ def list_zip(payload: str, content: bytes, limits: ArchiveLimits, container: str
         for row, e in zip([r for r in rows if r["container"] == container and r["idx"] >= 0], entries, strict=True):
             if e.is_dir() or e.flag_bits & 1:
                 continue
+            if isinstance(content, Ranged):
+                row["measured"] = "due"
+                continue
             row["measured"] = _measure(z, e, limits.max_total_uncompressed)
             if row["measured"] != "fits":
                 break
@@ -301,7 +308,7 @@ def _tar_entries(source: Unpacked, limits: ArchiveLimits, rows: list[dict], own:
     return None
 
 
-def list_stream(payload: str, content: bytes, kind: str, limits: ArchiveLimits) -> list[dict]:
+def list_stream(payload: str, content: bytes | Ranged, kind: str, limits: ArchiveLimits) -> list[dict]:
     """Rows of a tar, or of a compressed payload that may hold one; first the container's, idx -1."""
     own = {"payload_id": payload, "container": "", "depth": 0, "format": kind}
     top = own | {"idx": -1, "status": "ok", "bytes_in": len(content), "listed": 0}
@@ -330,8 +337,15 @@ def list_stream(payload: str, content: bytes, kind: str, limits: ArchiveLimits)
     return rows
 
 
-def entries(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content") -> DataFrame:  # noqa: B008
-    """The rows of every payload that has an archive kind: one per container (idx -1) and one per entry."""
+def _rows(payload: str, how: str, data: bytes | Ranged, limits: ArchiveLimits) -> list[dict]:
+    return list_zip(payload, data, limits)[0] if how == "zip" else list_stream(payload, data, how, limits)
+
+
+def entries(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content", path: str | None = None) -> DataFrame:  # noqa: B008
+    """The rows of every payload that has an archive kind: one per container (idx -1) and one per entry.
+
+    path: the column of addresses of files that are read by position in place of a column of contents.
+    """
     ship(payloads.sparkSession)
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(c, kinds[t]) for c, t in _ENTRY.items()])
@@ -340,10 +354,56 @@ def entries(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: s
         for batch in batches:
             for i in range(batch.num_rows):  # one payload's bytes at a time
                 payload, how, data = (c[i].as_py() for c in batch.columns)
-                rows = list_zip(payload, data, limits)[0] if how == "zip" else list_stream(payload, data, how, limits)
+                if path is None:
+                    rows = _rows(payload, how, data, limits)
+                else:
+                    with opened(data) as f:
+                        rows = _rows(payload, how, f, limits)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return payloads.where(F.col(kind).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(kind).alias("kind"), F.col(content).alias("content")).mapInArrow(run, ENTRY)
+    due = payloads.where(F.col(kind).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(kind).alias("kind"), F.col(path or content).alias("content"))
+    return (due if path is None else due.repartition(_tasks(payloads))).mapInArrow(run, ENTRY)
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Packed bytes of entries that one task measures at a time, about, and tasks at most.
+MEASURED, MEASURING = 64 << 20, 10_000
+
+
+def measured(listed: DataFrame, paths: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """listed, written, with the entries that were due measured: those of one archive in as many tasks as their bytes ask for.
+
+    paths: (payload_id, path).  Entries in a row, up to MEASURED packed bytes, make a range;
+    a task goes to each entry of its ranges by its place in the file.  As when one task
+    measures them all, the first entry that does not fit is the one that counts.
+    """
+    due = listed.where("measured = 'due'")
+    total = due.agg(F.count(F.lit(1)).alias("n"), F.sum("packed").alias("bytes")).first()
+    if not total["n"]:
+        return listed
+    running = Window.partitionBy("payload_id", "container").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = due.select("payload_id", "container", "idx", F.floor(F.coalesce(F.sum("packed").over(running), F.lit(0)) / MEASURED).alias("range"))
+    tasks = max(1, min(MEASURING, -(-(total["bytes"] or 0) // MEASURED) + _tasks(listed), total["n"]))
+    dealt = ranges.join(paths, "payload_id").repartitionByRange(tasks, "payload_id", "range", "idx").sortWithinPartitions("payload_id", "range", "idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("payload_id", "container", "path", "idx")), strict=True))
+        for (payload, container, path), each in itertools.groupby(rows, lambda r: r[:3]):
+            with opened(path) as f:
+                z = zipfile.ZipFile(f.file)
+                known = z.infolist()
+                found = [(payload, container, i, how) for *_, i in each if (how := _measure(z, known[i], limits.max_total_uncompressed)) != "fits"]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["payload_id", "container", "idx", "how"])
+
+    by = ["payload_id", "container"]
+    wrong = dealt.mapInArrow(run, "payload_id string, container string, idx int, how string").groupBy(*by).agg(F.min(F.struct("idx", "how")).alias("first")).select(*by, "first.idx", "first.how")
+    joined = listed.join(wrong, [*by, "idx"], "left")
+    return joined.withColumn("measured", F.coalesce("how", F.when(F.col("measured") == "due", "fits").otherwise(F.col("measured")))).select(*COLUMNS)
 
 
 def overlapping(zip_entries: DataFrame, by: list[str]) -> DataFrame:
@@ -487,8 +547,12 @@ def _level(rows: DataFrame, below: DataFrame | None, depth: int, limits: Archive
     return joined.select("payload_id", "container", "parent", "parent_idx", report.alias("report"), placed.alias("placed"))
 
 
-def inspect(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content") -> DataFrame:  # noqa: B008
-    """(payload_id, archive, archive_findings) of the payloads that have an archive kind."""
-    return reports(durable(entries(payloads, limits, key, kind, content)), limits)
+def inspect(payloads: DataFrame, limits: ArchiveLimits = ArchiveLimits(), key: str = "payload_id", kind: str = "archive", content: str = "content", path: str | None = None) -> DataFrame:  # noqa: B008
+    """(payload_id, archive, archive_findings) of the payloads that have an archive kind; path: as for entries()."""
+    listed = durable(entries(payloads, limits, key, kind, content, path))
+    if path is not None and limits.verify_sizes:
+        located = payloads.where(F.col(kind).isNotNull()).select(F.col(key).cast("string").alias("payload_id"), F.col(path).alias("path"))
+        listed = durable(measured(listed, located, limits))
+    return reports(listed, limits)
 
 

@@ -6,7 +6,6 @@ magic only (other rows send null); telling types apart by the lists is an expres
 
 from __future__ import annotations
 
-import io
 import struct
 import zipfile
 import zlib
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.registry import HEAD
+from assay.functions.stores import Ranged, seekable
 from assay.functions.values import part
 
 # MIME types in a `mimetype` entry.
@@ -52,10 +52,10 @@ def local_names(head: bytes, limit: int = 64) -> tuple[list[str], str | None]:
     return names, mimetype
 
 
-def _zip_list(content: bytes) -> tuple[list[str], str | None]:
+def _zip_list(content: bytes | Ranged) -> tuple[list[str], str | None]:
     names, mimetype = [], None
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(seekable(content)) as z:
             entries = z.infolist()[:512]
             names = [e.filename for e in entries]
             first = next((e for e in entries if e.filename == "mimetype" and e.file_size < 256), None)
@@ -71,16 +71,27 @@ def _zip_lists(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if c is None else _zip_list(c) for c in contents], columns=["names", "mimetype"])
 
 
-def ole_names(content: bytes, most: int = 16) -> list[str]:
+def zip_listing(content: Ranged, head: bytes) -> tuple[list[str], str | None] | None:
+    """What zip_kind() goes by, read by position; null for what is no ZIP file."""
+    return _zip_list(content) if head[:4] in _ZIP else None
+
+
+def ole_listing(content: Ranged, head: bytes) -> list[str] | None:
+    """What ole_kind() goes by, read by position; null for what is no compound file."""
+    return ole_names(content) if head[:8] == _OLE else None
+
+
+def ole_names(content: bytes | Ranged, most: int = 16) -> list[str]:
     """Names in the directory sectors of a compound file."""
-    if len(content[:HEAD]) < 512:
+    head = content[:512]
+    if len(head) < 512:
         return []
-    (shift,) = struct.unpack_from("<H", content, 0x1E)
+    (shift,) = struct.unpack_from("<H", head, 0x1E)
     if shift not in (9, 12):
         return []
     size = 1 << shift
-    (sector,) = struct.unpack_from("<I", content, 0x30)
-    fats = struct.unpack_from("<109I", content, 0x4C)
+    (sector,) = struct.unpack_from("<I", head, 0x30)
+    fats = struct.unpack_from("<109I", head, 0x4C)
     names, seen = [], set()
     while sector < _NONE and sector not in seen and len(seen) < most:
         seen.add(sector)
@@ -97,7 +108,7 @@ def ole_names(content: bytes, most: int = 16) -> list[str]:
         at = (fats[sector // (size // 4)] + 1) * size + sector % (size // 4) * 4
         if at + 4 > len(content):
             break
-        (sector,) = struct.unpack_from("<I", content, at)
+        (sector,) = struct.unpack("<I", content[at : at + 4])
     return names
 
 
@@ -163,14 +174,16 @@ def kind_of_inflated(start: Column) -> Column:
     return F.when(F.substring(text, 258, 5) == "ustar", "GZIP_TAR").when((trimmed.startswith("<?xml") | trimmed.startswith("<svg")) & text.contains("<svg"), "GZIP_SVG").otherwise("GZIP")
 
 
-def zip_kind(content: Column) -> Column:
-    """Null for what is no ZIP file."""
-    listed = _zip_lists(F.when(part(content, 0, 4).isin(*[F.lit(m) for m in _ZIP]), content))
+def zip_kind(content: Column, listed: Column | None = None) -> Column:
+    """Null for what is no ZIP file; listed: names and mimetype, where they have been read."""
+    if listed is None:
+        listed = _zip_lists(F.when(part(content, 0, 4).isin(*[F.lit(m) for m in _ZIP]), content))
     return F.when(listed["names"].isNotNull(), kind_of_names(listed["names"], listed["mimetype"]))
 
 
-def ole_kind(content: Column) -> Column:
-    names = _ole_lists(F.when(part(content, 0, 8) == F.lit(_OLE), content))
+def ole_kind(content: Column, names: Column | None = None) -> Column:
+    if names is None:
+        names = _ole_lists(F.when(part(content, 0, 8) == F.lit(_OLE), content))
     return F.when(names.isNotNull(), kind_of_streams(names))
 
 

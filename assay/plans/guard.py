@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,11 @@ from assay.operators.archive import Overflow, Unpacked, archive_kind
 from assay.operators.archive import inspect as inspect_archives
 from assay.operators.svg import sanitize_svg, scan_svg
 from assay.plans.policy import Policy
+from assay.sources.listing import list_files
+from assay.sources.ranged import LOCATED, locate, with_content
 
+#: Bytes of a file's beginning that its type may depend on.
+BEGINNING = 1 << 16
 PAYLOAD = ("payload_id", "filename", "content_type", "size", "oversized", "content")
 #: Categories that are searched for other formats.
 SEARCHED = ("image", "document", "font", "audio", "video", "data", "unknown")
@@ -49,7 +53,8 @@ def normalized(payloads: DataFrame) -> DataFrame:
     text = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
     oversized = F.coalesce(F.col("oversized"), F.lit(False)) if "oversized" in has else F.lit(False)
     content = F.coalesce(F.col("content"), F.lit(b""))
-    return payloads.select(F.col("payload_id").cast("string").alias("payload_id"), text("filename").alias("filename"), text("content_type").alias("content_type"), size.cast("long").alias("size"), oversized.alias("oversized"), content.alias("content"))
+    located = [c for c in LOCATED if set(LOCATED) <= has]
+    return payloads.select(F.col("payload_id").cast("string").alias("payload_id"), text("filename").alias("filename"), text("content_type").alias("content_type"), size.cast("long").alias("size"), oversized.alias("oversized"), content.alias("content"), *located)
 
 
 def size_findings(size: Column, oversized: Column, policy: Policy) -> Column:
@@ -139,7 +144,8 @@ def checked(payloads: DataFrame, policy: Policy, containers: bool = True) -> Dat
     if policy.polyglot_scan_limit:
         last.append(F.when(searched, embedded(content, detected, policy.polyglot_scan_limit)).otherwise(no_findings()))
     if policy.check_trailing_data:
-        last.append(F.when(size > 0, trailing(content, detected, F.octet_length(content))).otherwise(no_findings()))
+        ends = {"size": size, "end": F.col("tail")} if "tail" in rows.columns else {"size": F.octet_length(content)}
+        last.append(F.when(size > 0, trailing(content, detected, **ends)).otherwise(no_findings()))
     return rows.withColumn("_first", first).withColumn("_last", F.concat(*last) if last else no_findings())
 
 
@@ -166,25 +172,38 @@ def scan(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
     rows = checked(payloads, policy)
     is_svg = F.col("detected.mime") == "image/svg+xml"
     apart = is_svg | (F.col("archive_kind").isNotNull() if policy.inspect_archives else F.lit(False))
-    rows = durable(rows.withColumn("content", F.when(apart, F.col("content"))).withColumn("_row", F.monotonically_increasing_id().cast("string")))
+    located = "path" in rows.columns
+    if located:  # what is taken apart is read again by its path
+        rows = rows.withColumn("path", F.when(apart & ~F.col("oversized"), F.col("path"))).drop("content", "tail", "listed", "streams")
+    else:
+        rows = rows.withColumn("content", F.when(apart, F.col("content")))
+    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id().cast("string")))
     gzipped = F.array_contains("detected.extensions", "svgz")
     cap = policy.svg_policy.max_bytes
     drawn = is_svg & (F.col("size") > 0)
-    files = rows.where(drawn).select(F.col("_row").alias("payload_id"), F.when(gzipped, _gunzipped(F.when(gzipped, F.col("content")), F.lit(cap))).when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
+    drawings = rows.where(drawn)
+    if located:
+        drawings = with_content(drawings.select("_row", "path", "detected"), cap)
+    files = drawings.select(F.col("_row").alias("payload_id"), F.when(gzipped, _gunzipped(F.when(gzipped, F.col("content")), F.lit(cap))).when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
     look = sanitize_svg if policy.sanitize_svg else scan_svg
     svg = look(files.where(F.col("content").isNotNull()), policy.svg_policy)
     too_large = files.where(F.col("content").isNull()).select("payload_id", findings(finding(F.lit(True), "svg.too_large", HIGH, f"SVG of over {cap} bytes")).alias("svg_findings"), F.lit(None).cast("binary").alias("sanitized"))
     joined = rows.join(svg.unionByName(too_large).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("svg_findings", _reported(F.col("svg_findings"), drawn))
     if policy.inspect_archives:
         packed_up = F.col("archive_kind").isNotNull() & (F.col("size") > 0)
-        packed = rows.where(packed_up).select(F.col("_row").alias("payload_id"), "content", F.col("archive_kind").alias("archive"))
-        joined = joined.join(inspect_archives(packed, policy.archive_limits).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("archive_findings", _reported(F.col("archive_findings"), packed_up))
+        packed = rows.where(packed_up).select(F.col("_row").alias("payload_id"), "path" if located else "content", F.col("archive_kind").alias("archive"))
+        joined = joined.join(inspect_archives(packed, policy.archive_limits, path="path" if located else None).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("archive_findings", _reported(F.col("archive_findings"), packed_up))
     else:
         joined = joined.withColumn("archive", F.lit(None).cast("string")).withColumn("archive_findings", F.lit(None))
     parts = [F.col("_first"), *[F.coalesce(F.col(c).cast(f"array<{FINDING}>"), no_findings()) for c in ("svg_findings", "archive_findings")], F.col("_last")]
     return _result(joined.withColumn("findings", F.concat(*parts)), policy)
 
 
+def scan_files(spark: SparkSession, paths: str | list[str], policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """scan() of all files below paths, empty ones too, which are read by position: files of any size, none of them held whole."""
+    return scan(locate(list_files(spark, paths), max(policy.polyglot_scan_limit, BEGINNING), max_size=policy.max_size), policy)
+
+
 def scan_simple(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """scan() without a look into containers and without Unicode forms: one projection over the source."""
     rows = checked(payloads, policy, containers=False)

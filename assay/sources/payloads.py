@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.sources.listing import list_files
+
 PAYLOAD = "payload_id string, filename string, content_type string, size long, oversized boolean, content binary"
 
 
@@ -18,10 +18,11 @@ def from_files(spark: SparkSession, paths: str | list[str], max_size: int | None
     """Payloads of files: the path is the id, its last part the name.
 
     Files over max_size are listed with their size but never read.  Spark's reader leaves
-    out files of no bytes; these are added from a listing of their folders.
+    out files of no bytes; these are added from a listing by tasks, which needs a store
+    that Arrow reaches.  For files too large for one value: plans.guard.scan_files().
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    name = F.url_decode(F.substring_index("path", "/", -1))
+    name = F.substring_index("path", "/", -1)  # Spark's reader does not encode paths
     kept = files if max_size is None else files.where(F.col("length") <= max_size)
     read = kept.select(F.col("path").alias("payload_id"), name.alias("filename"), F.lit(None).cast("string").alias("content_type"), F.col("length").alias("size"), F.lit(False).alias("oversized"), "content")
     if max_size is not None:
@@ -33,24 +34,23 @@ def from_files(spark: SparkSession, paths: str | list[str], max_size: int | None
 
 
 def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Payloads of files without bytes, found by Hadoop's file listing.
-
-    The listing is walked on the driver, as Spark's readers list no empty file: for very
-    many files call from_files with empty_files=False.
-    """
+    """Payloads of files without bytes.  The driver works out the patterns in paths, tasks list what they name."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
+    roots = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        for status in fs.globStatus(path) or []:
-            walk = fs.listFiles(status.getPath(), True)
-            while walk.hasNext():
-                f = walk.next()
-                if not f.getLen() and not f.getPath().getName().startswith((".", "_")):
-                    uri = f.getPath().toString()
-                    found.append((uri, unquote(uri.rsplit("/", 1)[-1]), None, 0, False, bytearray()))
-    return spark.createDataFrame(found, PAYLOAD)
+        roots += [_uri(status.getPath().toString()) for status in path.getFileSystem(conf).globStatus(path) or []]
+    if not roots:
+        return spark.createDataFrame([], PAYLOAD)
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    path = F.when(path.startswith("file:///"), F.concat(F.lit("file:"), F.substring(path, 8, 1 << 30))).otherwise(path)  # as Spark's reader writes it
+    files = list_files(spark, roots).where("size = 0").withColumn("path", path)
+    return files.select(F.col("path").alias("payload_id"), F.substring_index("path", "/", -1).alias("filename"), F.lit(None).cast("string").alias("content_type"), "size", F.lit(False).alias("oversized"), F.lit(b"").alias("content"))
+
+
+def _uri(path: str) -> str:
+    """file:/x, as Hadoop writes it, is file:///x elsewhere."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def from_table(rows: DataFrame, content: str | Column, payload_id: str | Column, filename: str | Column | None = None, content_type: str | Column | None = None, size: str | Column | None = None, max_size: int | None = None) -> DataFrame:
