@@ -40,6 +40,32 @@ class Ranged:
         return self.file.read_at(stop - start, start) if stop > start else b""
 
 
+class _Seekable(io.RawIOBase):
+    """A file by position as the standard library reads files; a place before its beginning is its beginning, as with bytes in memory."""
+
+    def __init__(self, content: Ranged):
+        self.content, self.at = content, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + (0, self.at, len(self.content))[whence])
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        data = self.content[self.at : self.at + len(buffer)]
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
 @contextmanager
 def opened(uri: str) -> Iterator[Ranged]:
     files, path = store(uri)
@@ -49,4 +75,4 @@ def opened(uri: str) -> Iterator[Ranged]:
 
 def seekable(content: bytes | Ranged):
     """What the readers of the standard library take."""
-    return content.file if isinstance(content, Ranged) else io.BytesIO(content)
+    return io.BufferedReader(_Seekable(content), 1 << 16) if isinstance(content, Ranged) else io.BytesIO(content)

@@ -374,34 +374,43 @@ def _tasks(df: DataFrame) -> int:
 MEASURED, MEASURING = 64 << 20, 10_000
 
 
-def measured(listed: DataFrame, paths: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    """listed, written, with the entries that were due measured: those of one archive in as many tasks as their bytes ask for.
+def dealt(listed: DataFrame, paths: DataFrame) -> DataFrame | None:
+    """(payload_id, container, idx, range, path) of the entries that are due, those of one archive in as many tasks as their bytes ask for; null if there are none.
 
-    paths: (payload_id, path).  Entries in a row, up to MEASURED packed bytes, make a range;
-    a task goes to each entry of its ranges by its place in the file.  As when one task
-    measures them all, the first entry that does not fit is the one that counts.
+    paths: (payload_id, path).  Entries in a row, up to MEASURED packed bytes, make a range.
     """
     due = listed.where("measured = 'due'")
     total = due.agg(F.count(F.lit(1)).alias("n"), F.sum("packed").alias("bytes")).first()
     if not total["n"]:
-        return listed
+        return None
     running = Window.partitionBy("payload_id", "container").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     ranges = due.select("payload_id", "container", "idx", F.floor(F.coalesce(F.sum("packed").over(running), F.lit(0)) / MEASURED).alias("range"))
     tasks = max(1, min(MEASURING, -(-(total["bytes"] or 0) // MEASURED) + _tasks(listed), total["n"]))
-    dealt = ranges.join(paths, "payload_id").repartitionByRange(tasks, "payload_id", "range", "idx").sortWithinPartitions("payload_id", "range", "idx")
+    return ranges.join(paths, "payload_id").repartitionByRange(tasks, "payload_id", "range", "idx").sortWithinPartitions("payload_id", "range", "idx")
+
+
+def measured(listed: DataFrame, paths: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """listed, written, with the entries that were due measured.
+
+    A task goes to each of the entries that it was dealt by their places in the file.  As
+    when one task measures them all, the first entry that does not fit is the one that counts.
+    """
+    due = dealt(listed, paths.select("payload_id", "path"))
+    if due is None:
+        return listed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("payload_id", "container", "path", "idx")), strict=True))
         for (payload, container, path), each in itertools.groupby(rows, lambda r: r[:3]):
             with opened(path) as f:
-                z = zipfile.ZipFile(f.file)
+                z = zipfile.ZipFile(seekable(f))
                 known = z.infolist()
                 found = [(payload, container, i, how) for *_, i in each if (how := _measure(z, known[i], limits.max_total_uncompressed)) != "fits"]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["payload_id", "container", "idx", "how"])
 
     by = ["payload_id", "container"]
-    wrong = dealt.mapInArrow(run, "payload_id string, container string, idx int, how string").groupBy(*by).agg(F.min(F.struct("idx", "how")).alias("first")).select(*by, "first.idx", "first.how")
+    wrong = due.mapInArrow(run, "payload_id string, container string, idx int, how string").groupBy(*by).agg(F.min(F.struct("idx", "how")).alias("first")).select(*by, "first.idx", "first.how")
     joined = listed.join(wrong, [*by, "idx"], "left")
     return joined.withColumn("measured", F.coalesce("how", F.when(F.col("measured") == "due", "fits").otherwise(F.col("measured")))).select(*COLUMNS)
 

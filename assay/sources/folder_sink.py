@@ -2,8 +2,8 @@
 
 Each task writes its files to a folder of its own beside the others, under `_pending`.  When
 all tasks are done the driver moves these folders to their places, part-00000 and so on; if
-the job fails it removes them.  A task that fails removes its own at once, and what a lost
-one leaves behind goes with `_pending`.  A file's name is its number in the task and the
+the job fails it removes them.  A task that fails removes its own at once, what a lost
+one leaves behind goes with the job's, and one that is late finds no folder to write to.  A file's name is its number in the task and the
 name it was given, so that equal names stand side by side; `_index.jsonl` in each part tells
 which payload a file is of.
 """
@@ -53,7 +53,7 @@ class _Writer(DataSourceArrowWriter):
             for batch in iterator:
                 for payload, name, content in zip(*(batch.column(c) for c in ("payload_id", "name", "content")), strict=True):
                     if not lines:
-                        files.create_dir(at, recursive=True)
+                        files.create_dir(at, recursive=False)  # fails once the job has been given up
                     given = re.sub(r"[/\\\x00]", "_", name.as_py() or "")
                     file = f"{len(lines):06}" + (f"-{given}" if given else "")
                     with files.open_output_stream(f"{at}/{file}", compression=None) as out:
@@ -116,7 +116,10 @@ class Folder(DataSource):
         return "payload_id string, name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], overwrite)
+        writer = _Writer(self.options["path"], overwrite)
+        files, _, pending = writer._places()
+        files.create_dir(pending, recursive=True)
+        return writer
 
 
 def write_files(rows: DataFrame, path: str, name: str = "filename", content: str = "content", payload_id: str = "payload_id", mode: str = "append") -> None:
