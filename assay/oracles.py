@@ -299,6 +299,7 @@ ORACLES: dict[str, str] = {
     "extension_match": f"WITH {_CUT} SELECT k, coalesce(CASE kind " + " ".join(f"WHEN '{k}' THEN usual IN {_list({registry.canonical(e) for e in registry.KINDS[k].extensions})}" for k in derived.KINDS) + " END, false) AS matches FROM d",
     "content_type_compat": f"WITH u AS ({derived.UPLOADS_SQL}), n AS (SELECT k, kind, CASE WHEN content_type <> '' THEN lower(trim(string_split(content_type, ';')[1])) END AS declared FROM u), a AS (SELECT *, {_case('declared', names.CONTENT_TYPE_ALIASES)} AS alias FROM n) SELECT k, declared, coalesce({_compatible()}, false) AS compatible FROM a",
     "type_rules": f"WITH u AS ({derived.UPLOADS_SQL}) SELECT k, {', '.join(f'{_rule(r)} AS rule_{i}' for i, r in enumerate(RULES))}, {' OR '.join(_rule(r) for r in RULES)} AS any_rule FROM u",
+    "type_rules_join": f"WITH u AS ({derived.UPLOADS_SQL}) SELECT k, {', '.join(f'{_rule(r)} AS rule_{i}' for i, r in enumerate(RULES))}, {' OR '.join(_rule(r) for r in RULES)} AS any_rule FROM u",
     "size_findings": f"WITH u AS ({derived.UPLOADS_SQL}) SELECT k, CASE WHEN k % 7 = 0 OR size > 5000 THEN 'size.too_large:30' WHEN size = 0 THEN 'size.empty:30' WHEN size < 5 THEN 'size.too_small:30' ELSE '' END AS codes FROM u",
     "signature_first": f"{_HEAD} SELECT k, (CASE {' '.join(f'WHEN {_signature(s)} THEN {i}' for i, s in enumerate(registry.ORDERED))} END)::INT AS rank FROM b",
     "signature_join": f"{_HEAD}, s AS (SELECT k, (CASE {' '.join(f'WHEN {_signature(s)} THEN {i}' for i, s in enumerate(registry.ORDERED))} END)::INT AS rank FROM b) SELECT k, rank FROM s WHERE rank IS NOT NULL",

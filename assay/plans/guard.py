@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 
 from assay.functions.detect import detect, is_unknown, preferred_extension
 from assay.functions.durable import durable
-from assay.functions.names import GENERIC_CONTENT_TYPES, any_rule_matches, canonical_extension, compile_rules, content_type_compatible, extension_matches, file_extension, filename_findings, normalize_content_type, sanitize_filename
+from assay.functions.names import GENERIC_CONTENT_TYPES, canonical_extension, content_type_compatible, extension_matches, file_extension, filename_findings, normalize_content_type, sanitize_filename
 from assay.functions.polyglot import embedded, trailing
 from assay.functions.registry import known_extensions
+from assay.functions.rules import MANY, holds, rules, with_rules
 from assay.functions.ship import ship
 from assay.functions.values import FINDING, HIGH, INFO, LOW, finding, findings, held, no_findings
 from assay.operators.archive import Overflow, Unpacked, archive_kind
@@ -76,12 +77,21 @@ def name_findings(filename: Column, policy: Policy) -> Column:
     return F.transform(found, lambda f: F.when(f["code"] == "filename.empty", empty).otherwise(f))
 
 
-def type_findings(detected: Column, extension: Column, declared: Column, head: Column, policy: Policy) -> Column:
-    """Whether the name, the declared type and the rules agree with what the content is."""
+def ruled(rows: DataFrame, policy: Policy) -> tuple[DataFrame, Column, Column]:
+    """rows, and whether a type that they have in `detected` is allowed and blocked; many rules are joined, few looked up."""
+    out = []
+    for name, asked in (("_allowed", rules(policy.allowed)), ("_blocked", rules(policy.blocked))):
+        if len(asked) > MANY:
+            rows = with_rules(rows, asked, name)
+        out.append(F.col(name) if len(asked) > MANY else holds(asked, F.col("detected")))
+    return rows, *out
+
+
+def type_findings(detected: Column, extension: Column, declared: Column, head: Column, policy: Policy, allowed: Column, blocked: Column) -> Column:
+    """Whether the name, the declared type and the rules agree with what the content is; allowed and blocked: what the rules say."""
     unknown, mime = is_unknown(detected), detected["mime"]
     wrong = ~unknown & (F.coalesce(extension, F.lit("")) != "") & F.lit(policy.strict_extension) & ~extension_matches(extension, detected["extensions"])
     odd_text = (mime == "text/plain") & ~canonical_extension(extension).isin(*known_extensions())
-    allowed, blocked = compile_rules(policy.allowed), compile_rules(policy.blocked)
     checked = F.lit(policy.check_content_type) & (declared != "") & ~declared.isin(*GENERIC_CONTENT_TYPES) & ~unknown
     what = F.concat(detected["description"], F.lit(" ("), mime, F.lit(")"))
     return findings(
@@ -89,8 +99,8 @@ def type_findings(detected: Column, extension: Column, declared: Column, head: C
         finding(wrong & odd_text, "extension.unknown", LOW, F.concat(F.lit("plain text with the unknown extension ."), extension), {"declared": extension}),
         finding(wrong & ~odd_text, "extension.mismatch", HIGH, F.concat(F.lit("extension ."), extension, F.lit(" on "), mime), {"declared": extension, "detected_mime": mime, "expected": F.to_json(detected["extensions"])}),
         finding(checked & ~content_type_compatible(declared, detected), "content_type.mismatch", LOW, F.concat(declared, F.lit(" declared, "), mime, F.lit(" found")), {"declared": declared, "detected": mime}),
-        finding(any_rule_matches(blocked, detected), "type.blocked", HIGH, F.concat(what, F.lit(" is blocked")), {"mime": mime}),
-        finding(F.lit(bool(allowed)) & ~any_rule_matches(allowed, detected), "type.not_allowed", HIGH, F.concat(what, F.lit(" is not allowed")), {"mime": mime}),
+        finding(blocked, "type.blocked", HIGH, F.concat(what, F.lit(" is blocked")), {"mime": mime}),
+        finding(F.lit(bool(rules(policy.allowed))) & ~allowed, "type.not_allowed", HIGH, F.concat(what, F.lit(" is not allowed")), {"mime": mime}),
     )
 
 
@@ -138,7 +148,8 @@ def checked(payloads: DataFrame, policy: Policy, containers: bool = True) -> Dat
     kind = archive_kind(detected["mime"], content)
     rows = rows.withColumn("declared_extension", extension).withColumn("archive_kind", kind)
     declared = normalize_content_type(F.col("content_type"))
-    first = F.concat(size_findings(size, F.col("oversized"), policy), name_findings(F.col("filename"), policy), type_findings(detected, F.col("declared_extension"), declared, content, policy))
+    rows, allowed, blocked = ruled(rows, policy)
+    first = F.concat(size_findings(size, F.col("oversized"), policy), name_findings(F.col("filename"), policy), type_findings(detected, F.col("declared_extension"), declared, content, policy, allowed, blocked))
     searched = (size > 0) & detected["category"].isin(*SEARCHED) & F.col("archive_kind").isNull()
     last = []
     if policy.polyglot_scan_limit:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from assay.functions.names import DANGEROUS_EXTENSIONS, TypeRule, compile_rules
+from assay.functions.names import DANGEROUS_EXTENSIONS
+from assay.functions.rules import Rule, rules
 from assay.functions.values import MEDIUM
 from assay.operators.archive import ArchiveLimits
 from assay.operators.svg import SvgPolicy
@@ -15,8 +16,8 @@ from assay.operators.svg import SvgPolicy
 class Policy:
     """Rules name types (`image/*`, `application/pdf`, `.docx`, `category:archive`) and hold for the detected type, never the declared one."""
 
-    allowed: Sequence[str | TypeRule] | None = None
-    blocked: Sequence[str | TypeRule] = ("category:executable", "category:script")
+    allowed: Sequence[str | Rule] | None = None
+    blocked: Sequence[str | Rule] = ("category:executable", "category:script")
     max_size: int | None = None
     min_size: int = 1
     require_extension: bool = True
@@ -37,8 +38,8 @@ class Policy:
     ascii_filenames: bool = False
 
     def __post_init__(self) -> None:
-        compile_rules(self.allowed)  # a bad rule fails here, not in a job
-        compile_rules(self.blocked)
+        rules(self.allowed)  # a bad rule fails here, not in a job
+        rules(self.blocked)
 
     def with_(self, **changes) -> Policy:
         return replace(self, **changes)

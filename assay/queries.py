@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay import derived, wrapped
-from assay.functions import names, paths, polyglot, registry, text, urls
+from assay.functions import names, paths, polyglot, registry, rules, text, urls
 from assay.functions.binary import binary_kind
 from assay.functions.detect import kind_struct, with_kind
 from assay.functions.durable import durable, shared_dir
@@ -96,7 +96,17 @@ RULES = ("image/*", "application/pdf", ".docx", "category:archive")
 @query
 def type_rules(spark, sf_dir):
     detected = kind_struct(F.col("kind"))
-    return derived.uploads(spark, sf_dir).select("k", *[r.matches(detected).alias(f"rule_{i}") for i, r in enumerate(names.compile_rules(RULES))], names.any_rule_matches(names.compile_rules(RULES), detected).alias("any_rule"))
+    asked = rules.rules(RULES)
+    return derived.uploads(spark, sf_dir).select("k", *[rules.holds([r], detected).alias(f"rule_{i}") for i, r in enumerate(asked)], rules.holds(asked, detected).alias("any_rule"))
+
+
+@query
+def type_rules_join(spark, sf_dir):
+    """The same by joins: any number of rules against the words of the registry, the outcome against the rows."""
+    rows = derived.uploads(spark, sf_dir).select("k", kind_struct(F.col("kind")).alias("detected"))
+    for i, r in enumerate(RULES):
+        rows = rules.with_rules(rows, rules.rules(r), f"rule_{i}")
+    return rules.with_rules(rows, rules.rules(RULES), "any_rule").drop("detected")
 
 
 @query
