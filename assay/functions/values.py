@@ -57,8 +57,9 @@ def finding(when: Column, code, severity, message, detail: dict[str, Column] | N
         return F.when(when, F.from_json(F.lit(json.dumps({**plain, "detail": {}, "remediated": False})), FINDING))
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     pairs = [x for k, v in (detail or {}).items() for x in (F.lit(k), v.cast("string"))]
-    fields = (as_column(code), as_column(severity), as_column(message), F.create_map(*pairs) if pairs else F.create_map(), F.lit(False) if remediated is None else remediated)
-    return F.when(when, F.struct(*fields).cast(FINDING))
+    # no cast to FINDING: Spark leaves casts to structs out of SQL text
+    fields = {"code": as_column(code), "severity": as_column(severity), "message": as_column(message), "detail": F.create_map(*pairs) if pairs else F.from_json(F.lit("{}"), "map<string,string>"), "remediated": F.lit(False) if remediated is None else remediated}
+    return F.when(when, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
 def let(value: Column, body) -> Column:
@@ -81,4 +82,4 @@ def findings(*each: Column) -> Column:
 
 
 def no_findings() -> Column:
-    return F.array().cast(f"array<{FINDING}>")
+    return F.from_json(F.lit("[]"), f"array<{FINDING}>")

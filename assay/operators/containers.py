@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zipfile
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -174,19 +175,19 @@ def kind_of_inflated(start: Column) -> Column:
     return F.when(F.substring(text, 258, 5) == "ustar", "GZIP_TAR").when((trimmed.startswith("<?xml") | trimmed.startswith("<svg")) & text.contains("<svg"), "GZIP_SVG").otherwise("GZIP")
 
 
-def zip_kind(content: Column, listed: Column | None = None) -> Column:
-    """Null for what is no ZIP file; listed: names and mimetype, where they have been read."""
+def zip_kind(content: Column, listed: Column | None = None, read: Callable[[Column], Column] = _zip_lists) -> Column:
+    """Null for what is no ZIP file; listed: names and mimetype, where they have been read; read: what else reads them."""
     if listed is None:
-        listed = _zip_lists(F.when(part(content, 0, 4).isin(*[F.lit(m) for m in _ZIP]), content))
+        listed = read(F.when(part(content, 0, 4).isin(*[F.lit(m) for m in _ZIP]), content))
     return F.when(listed["names"].isNotNull(), kind_of_names(listed["names"], listed["mimetype"]))
 
 
-def ole_kind(content: Column, names: Column | None = None) -> Column:
+def ole_kind(content: Column, names: Column | None = None, read: Callable[[Column], Column] = _ole_lists) -> Column:
     if names is None:
-        names = _ole_lists(F.when(part(content, 0, 8) == F.lit(_OLE), content))
+        names = read(F.when(part(content, 0, 8) == F.lit(_OLE), content))
     return F.when(names.isNotNull(), kind_of_streams(names))
 
 
-def gzip_kind(content: Column) -> Column:
+def gzip_kind(content: Column, read: Callable[[Column], Column] = _inflated_start) -> Column:
     is_gzip = part(content, 0, 2) == F.lit(_GZIP)
-    return F.when(is_gzip, kind_of_inflated(_inflated_start(F.when(is_gzip, F.substring(content, 1, HEAD)))))
+    return F.when(is_gzip, kind_of_inflated(read(F.when(is_gzip, F.substring(content, 1, HEAD)))))
