@@ -15,9 +15,10 @@ from assay.functions.durable import durable, forget_all
 from assay.functions.ship import ship
 from assay.functions.values import SEVERITIES
 from assay.plans.guard import scan
-from assay.plans.http import exit_code, to_json, to_text
+from assay.plans.http import observed, to_json, to_text
 from assay.plans.policy import Policy
-from assay.sources.payloads import from_files, write_sanitized, write_sanitized_file
+from assay.sources.folder_sink import write_sanitized_files
+from assay.sources.payloads import from_files, write_sanitized_file
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--no-sanitize", action="store_true")
     s.add_argument("--lenient-extension", action="store_true")
     s.add_argument("--json", action="store_true")
-    s.add_argument("--write-sanitized", metavar="PATH", help="the file that was put right; of several, a table")
+    s.add_argument("--write-sanitized", metavar="PATH", help="the file that was put right; of several, a folder")
     d = commands.add_parser("detect", help="the types of files")
     d.add_argument("files", nargs="+")
     d.add_argument("--json", action="store_true")
@@ -58,16 +59,18 @@ def main(argv: list[str] | None = None) -> int:
     policy = Policy(allowed=args.allow, max_size=args.max_size, reject_threshold={v: k for k, v in SEVERITIES.items()}[args.threshold], sanitize_svg=not args.no_sanitize, strict_extension=not args.lenient_extension)
     if args.block is not None:
         policy = policy.with_(blocked=tuple(args.block))
-    results = durable(scan(payloads, policy))
+    found, seen = observed(scan(payloads, policy))
+    results = durable(found)  # and counted on the way
     for row in (to_json(results) if args.json else to_text(results)).toLocalIterator():
         print(row[1])
     if args.write_sanitized and len(args.files) == 1 and not os.path.isdir(args.files[0]):
         write_sanitized_file(results, args.write_sanitized)
     elif args.write_sanitized:
-        write_sanitized(results, args.write_sanitized)
-    code = exit_code(results).first()["exit_code"]
+        write_sanitized_files(results, args.write_sanitized if "://" in args.write_sanitized else f"file://{os.path.abspath(args.write_sanitized)}")
+    told = seen.get
+    print(f"{told['payloads']} payloads, {told['rejected']} rejected, {told['findings']} findings: {', '.join(told['codes']) or 'none'}", file=sys.stderr)
     forget_all(spark)
-    return code
+    return told["exit_code"]
 
 
 if __name__ == "__main__":

@@ -335,5 +335,11 @@ ORACLES: dict[str, str] = {
     "stream_scan": f"{_PAGES} SELECT k, len(errors) = 0 AS ok, codes FROM v",
     "container_kinds": wrapped.KINDS_SQL,
     "archive_reports": wrapped.REPORTS_SQL,
+    "archive_limits": wrapped.LIMITS_SQL,
+    "located_archives": wrapped.LIMITS_SQL,
+    "located_kinds": wrapped.KINDS_SQL,
+    "file_stream": wrapped.FILES_SQL,
+    "sql_types": wrapped.TYPES_SQL,
+    "observed_counts": f"{_PAGES} SELECT count(*) AS payloads, count(*) FILTER (len(errors) > 0) AS rejected, CASE WHEN count(*) FILTER (len(errors) > 0) > 0 THEN 1 ELSE 0 END::INT AS exit_code, (SELECT string_agg(DISTINCT split_part(c, ':', 1), ',' ORDER BY split_part(c, ':', 1)) FROM (SELECT unnest(string_split(codes, ',')) AS c FROM v WHERE codes <> '')) AS codes FROM v",
     "svg_scan": wrapped.DRAWINGS_SQL,
 }

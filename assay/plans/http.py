@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from assay.functions.values import SEVERITIES
@@ -48,11 +48,30 @@ def to_json(results: DataFrame) -> DataFrame:
 
 def to_text(results: DataFrame) -> DataFrame:
     """(payload_id, text): a line for the verdict and one for each finding."""
-    line = F.format_string("%s %s  ->  %s (%s)  %d bytes", F.when(F.col("ok"), "OK  ").otherwise("FAIL"), "payload_id", "detected.mime", "detected.description", "size")
-    each = F.transform("findings", lambda f: F.format_string("      [%-8s] %-28s %s", F.when(f["remediated"], "fixed").otherwise(F.lower(severity_name(f["severity"]))), f["code"], f["message"]))
+    line = F.concat_ws(" | ", F.when(F.col("ok"), "accepted").otherwise("rejected"), "payload_id", "detected.mime", "detected.description", F.concat(F.col("size").cast("string"), F.lit(" B")))
+    each = F.transform("findings", lambda f: F.concat(F.lit("  - "), f["code"], F.lit(", "), F.when(f["remediated"], "put right").otherwise(severity_name(f["severity"])), F.lit(": "), f["message"]))
     return results.select("payload_id", F.array_join(F.concat(F.array(line), each), "\n").alias("text"))
 
 
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """results, and what will have been counted once they are written, in the pass that writes them.
+
+    payloads, rejected, findings, exit_code (as exit_code() has it), and the codes of all
+    findings, sorted; these are gathered as the sets of codes that payloads have.
+    """
+    seen = Observation()
+    codes = F.transform("findings", lambda f: f["code"])
+    counted = results.observe(
+        seen,
+        F.count(F.lit(1)).alias("payloads"),
+        F.count_if(~F.col("ok")).alias("rejected"),
+        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"),
+        F.coalesce(F.max(F.when(~F.col("ok"), 1).otherwise(0)), F.lit(0)).alias("exit_code"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(codes)))))).alias("codes"),
+    )
+    return counted, seen
+
+
 def exit_code(results: DataFrame, failed: Column | None = None) -> DataFrame:
     """(exit_code): 0 if all is accepted, 1 if something is rejected, 2 if something could not be read."""
     code = F.when(F.lit(False) if failed is None else failed, 2).when(~F.col("ok"), 1).otherwise(0)

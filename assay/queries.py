@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay import derived, wrapped
-from assay.functions import names, paths, polyglot, registry, rules, text, urls
+from assay.functions import names, paths, polyglot, registry, rules, signatures, text, urls
 from assay.functions.binary import binary_kind
 from assay.functions.detect import kind_struct, with_kind
-from assay.functions.durable import durable, shared_dir
+from assay.functions.durable import durable, folder
 from assay.functions.values import latin, part
 from assay.operators import archive, svg
-from assay.plans import guard, http
+from assay.plans import guard, http, sql
 from assay.plans.policy import Policy
+from assay.sources.folder_sink import write_files
+from assay.sources.listing import list_files
 from assay.sources.payloads import from_table
+from assay.sources.ranged import locate
 from assay.streaming import drops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,11 +133,9 @@ def signature_first(spark, sf_dir):
 
 @query
 def signature_join(spark, sf_dir):
-    """The same by a join with the signature table, the lowest rank kept."""
-    rows = derived.blobs(spark, sf_dir).select("k", F.substring("content", 1, registry.HEAD).alias("head"))
-    table = F.broadcast(registry.signatures_frame(spark))  # 99 rows
-    hit = rows.join(table, F.expr("substring(head, offset + 1, octet_length(magic)) = magic"))
-    return hit.groupBy("k").agg(F.min("rank").alias("rank"))
+    """The same by hash joins with the signature table, the lowest rank kept."""
+    rows = derived.blobs(spark, sf_dir).select("k", F.substring("content", 1, registry.HEAD).alias("content"))
+    return signatures.ranked(rows, registry.signatures_frame(spark)).where("rank IS NOT NULL").select("k", "rank")
 
 
 @query
@@ -280,9 +280,9 @@ def _simple(spark, sf_dir) -> DataFrame:
 @query
 def stream_scan(spark, sf_dir):
     """The pages as a stream of files, triaged batch by batch into a folder of the shared one; then what the folder holds."""
-    at = f"{sf_dir}/pages.parquet*"  # a pattern, as the table may be one file
+    at = f"{sf_dir}/pages[.]parquet"  # a pattern, as the table may be one file
     pages = spark.readStream.schema(derived.table(spark, sf_dir, "pages").schema).parquet(at)
-    run = f"{shared_dir(spark).rstrip('/')}/assay-stream-{uuid.uuid4().hex}"
+    run = folder(spark, "stream")
     drops.run(_page_payloads(pages), f"{run}/out", f"{run}/checkpoint", POLICY).awaitTermination()
     found = spark.read.schema(guard.scan(_page_payloads(derived.table(spark, sf_dir, "pages")).limit(0), POLICY).schema).option("recursiveFileLookup", "true").parquet(f"{run}/out")
     return found.select(F.col("payload_id").cast("long").alias("k"), "ok", coded(F.col("findings")).alias("codes"))
@@ -334,6 +334,67 @@ def archive_reports(spark, sf_dir):
     return found.select("payload_id", *report, F.array_join("archive.nested_archives", ",").alias("nested"), F.array_join("archive.unsafe_paths", ",").alias("unsafe"), coded(F.col("archive_findings")).alias("codes"))
 
 
+def _limited(found: DataFrame) -> DataFrame:
+    each = F.transform("archive_findings", lambda f: F.concat_ws(":", f["code"], f["severity"].cast("string")))
+    return found.select("payload_id", F.col("archive.entry_count").cast("long").alias("entry_count"), "archive.truncated", F.array_join(F.array_sort(F.array_distinct(each)), ",").alias("codes"))
+
+
+@query
+def archive_limits(spark, sf_dir):
+    """Archives on both sides of every limit, each of them set by the size of a text; codes sorted, each once."""
+    rows = with_kind(wrapped.limited(spark, sf_dir), to="_kind")
+    rows = rows.withColumn("archive", archive.archive_kind(kind_struct(F.col("_kind"))["mime"], F.col("content")))
+    return _limited(archive.inspect(durable(rows), wrapped.LIMITS))
+
+
+@query
+def located_archives(spark, sf_dir):
+    """The same archives as files that tasks have written, listed and read by position; their sizes are verified in many tasks."""
+    at = folder(spark, "files")
+    write_files(wrapped.limited(spark, sf_dir).withColumn("name", F.concat_ws("-", "payload_id", "filename")), at, "name")
+    files = with_kind(locate(list_files(spark, at)), to="_kind")
+    kind = archive.archive_kind(kind_struct(F.col("_kind"))["mime"], F.col("content"))
+    rows = durable(files.select(F.split_part("filename", F.lit("-"), F.lit(2)).alias("payload_id"), "path", kind.alias("archive")))
+    return _limited(archive.inspect(rows, wrapped.LIMITS, path="path"))
+
+
+@query
+def located_kinds(spark, sf_dir):
+    """container_kinds of files that are read by their beginning, end and directory."""
+    at = folder(spark, "files")
+    write_files(wrapped.wrapped(spark, sf_dir).withColumn("name", F.concat_ws("-", "payload_id", "filename")), at, "name")
+    files = locate(list_files(spark, at), head=1 << 16)
+    return with_kind(files).select(F.split_part("filename", F.lit("-"), F.lit(2)).alias("payload_id"), "kind")
+
+
+@query
+def file_stream(spark, sf_dir):
+    """Documents as files, every seventh of no bytes, in a stream of listings: each once, with its size and whether it is found empty."""
+    at, run = folder(spark, "files"), folder(spark, "stream")
+    rows = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("payload_id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).cast("binary").alias("content"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
+    write_files(rows, at)
+    found = drops.stream_located(spark, at, POLICY).select(F.regexp_extract("filename", "-(-?\\d+)\\.", 1).cast("long").alias("k"), "size", coded(guard.size_findings(F.col("size"), F.col("oversized"), POLICY)).alias("codes"))
+    found.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{run}/out")
+
+
+@query
+def sql_types(spark, sf_dir):
+    """container_kinds in SQL: the MIME type by a function of Spark SQL."""
+    sql.register(spark)
+    wrapped.wrapped(spark, sf_dir).createOrReplaceTempView("assay_wrapped")
+    return spark.sql("SELECT payload_id, detect_type(content).mime AS mime FROM assay_wrapped")
+
+
+@query
+def observed_counts(spark, sf_dir):
+    """What was counted while results were written, in the one pass that wrote them."""
+    results, seen = http.observed(_simple(spark, sf_dir))
+    durable(results)
+    told = seen.get
+    return spark.createDataFrame([(told["payloads"], told["rejected"], told["exit_code"], ",".join(told["codes"]))], "payloads long, rejected long, exit_code int, codes string")
+
+
 @query
 def svg_scan(spark, sf_dir):
     """Codes of every document inside an SVG file, sorted."""

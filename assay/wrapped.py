@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.derived import sql_case, sql_text, table
+from assay.functions.registry import KINDS
+from assay.operators.archive import ArchiveLimits
 
 LONG = "d" * 40 + "/" + "e" * 140
 NS = 'xmlns="http://www.w3.org/2000/svg"'
@@ -146,6 +148,76 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir, lambda k, body: ("a.svg", plain(body).join(x.encode() for x in DRAWINGS[k % len(DRAWINGS)][0].replace("{{", "{ ").replace("}}", " }").split("{}"))))
 
 
+# ---------------------------------------------------------------- archives at their limits
+
+LIMITS = ArchiveLimits(max_total_uncompressed=12_288, max_ratio=10, ratio_min_uncompressed=2000, max_entries=4, max_nested_bytes=1000, verify_sizes=True, allow_symlinks=True)
+_REAL = 300
+#: Bytes of a ZIP file of one stored entry with a name of one letter, beside the entry's.
+_AROUND = 30 + 1 + 46 + 1 + 22
+
+
+def relisted(data: bytes, size: int) -> bytes:
+    """data, a ZIP file of one entry, whose directory says that it is of this size."""
+    at = data.rindex(b"PK\x01\x02") + 24
+    return data[:at] + struct.pack("<I", size) + data[at + 4 :]
+
+
+class Limit(NamedTuple):
+    """build: an archive out of n, the size of a text; entries, truncated, codes: what has to be found, as SQL over n."""
+
+    filename: str
+    build: Callable[[int], bytes]
+    entries: str
+    truncated: str
+    codes: str
+
+
+def _when(condition: str, code: str) -> str:
+    return f"CASE WHEN {condition} THEN '{code}' ELSE '' END"
+
+
+LIMITED = [
+    # more entries than are looked at
+    Limit("a.zip", lambda n: zipped(*((f"{i}", b"1") for i in range(n % 9)), stored=True), "n % 9", f"n % 9 > {LIMITS.max_entries}", _when(f"n % 9 > {LIMITS.max_entries}", "archive.too_many_entries:30")),
+    # more bytes than are unpacked
+    Limit("a.zip", lambda n: zipped(*((f"{i}", bytes(n % 6000)) for i in range(3)), stored=True), "3", f"3 * (n % 6000) > {LIMITS.max_total_uncompressed}", _when(f"3 * (n % 6000) > {LIMITS.max_total_uncompressed}", "archive.bomb_size:40")),
+    # an archive inside that is too large to be opened; one that is opened counts its entry
+    Limit("a.zip", lambda n: zipped(("x.zip", zipped(("y", bytes(n % 2000)), stored=True)), stored=True), f"CASE WHEN n % 2000 + {_AROUND} > {LIMITS.max_nested_bytes} THEN 1 ELSE 2 END", "false", _when(f"n % 2000 + {_AROUND} > {LIMITS.max_nested_bytes}", "archive.nested_too_large:20")),
+    # an archive inside one inside one, by its depth
+    Limit("a.zip", lambda n: zipped(("x.zip", zipped(("y.zip" if n % 2 else "y", b"1"), stored=True)), stored=True), "2", "false", _when("n % 2 = 1", "archive.nested_uninspected:20")),
+    # a size that is not the entry's
+    Limit("a.zip", lambda n: relisted(zipped(("x", bytes(_REAL)), stored=True), n % 600), "1", "false", _when(f"n % 600 < {_REAL}", "archive.size_mismatch:40")),
+    # compressed zeros: a ratio, or more bytes than are unpacked
+    Limit("a.gz", lambda n: gzip.compress(bytes(n % 40 * 500), mtime=0), f"CASE WHEN n % 40 * 500 > {LIMITS.max_total_uncompressed} THEN 0 ELSE 1 END", f"n % 40 * 500 > {LIMITS.max_total_uncompressed}", f"CASE WHEN n % 40 * 500 > {LIMITS.max_total_uncompressed} THEN 'archive.bomb_size:40' WHEN n % 40 * 500 >= {LIMITS.ratio_min_uncompressed} THEN 'archive.bomb_ratio:40' ELSE '' END"),
+    # a link, as many folders up as n says, out of a folder in a folder
+    Limit("a.tar", lambda n: tarred(("a/b/x", _LINK, b"", "../" * (n % 6) + "y")), "1", "false", _when("n % 6 > 2", "archive.path_traversal:40,archive.symlink_escape:40")),
+    # a ZIP file that has lost its directory
+    Limit("a.zip", lambda n: (lambda z: z[: z.index(b"PK\x01\x02")])(zipped(("x", bytes(n % 100)), stored=True)) + bytes(n % 50), "0", "false", "'archive.corrupt:30'"),
+    # members of a tar beyond the limit
+    Limit("a.tar", lambda n: tarred(*((f"{i}", _FILE, b"1", "") for i in range(1 + n % 8))), f"least(1 + n % 8, {LIMITS.max_entries + 1})", f"1 + n % 8 > {LIMITS.max_entries}", _when(f"1 + n % 8 > {LIMITS.max_entries}", "archive.too_many_entries:30")),
+    # an inner archive that unpacks to more than it says
+    Limit("a.zip", lambda n: relisted(zipped(("x.zip", zipped(("y", b"1"), stored=True)), stored=True), n % 200), f"CASE WHEN n % 200 < {_AROUND + 1} THEN 1 ELSE 2 END", f"n % 200 < {_AROUND + 1}", _when(f"n % 200 < {_AROUND + 1}", "archive.size_mismatch:40")),
+]
+
+
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payloads(payload_id, filename, content): for every document one of LIMITED, made by its size."""
+
+    def build(k: int, body: bytes) -> tuple[str, bytes]:
+        limit = LIMITED[k % len(LIMITED)]
+        return limit.filename, limit.build(len(body))
+
+    return _built(spark, sf_dir, build)
+
+
+LIMITS_SQL = f"""
+    WITH d AS (SELECT doc_id AS k, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+    SELECT k::VARCHAR AS payload_id, ({sql_case('k', [x.entries for x in LIMITED])})::BIGINT AS entry_count, {sql_case('k', [x.truncated for x in LIMITED])} AS truncated, {sql_case('k', [x.codes for x in LIMITED])} AS codes FROM d"""
+TYPES_SQL = f"SELECT doc_id::VARCHAR AS payload_id, {sql_case('doc_id', [sql_text(KINDS[w.kind].mime) for w in WRAPS])} AS mime FROM documents"
+FILES_SQL = """
+    WITH d AS (SELECT doc_id AS k, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE octet_length(encode(coalesce(text, ''))) END::BIGINT AS size FROM documents)
+    SELECT k, size, CASE WHEN size = 0 THEN 'size.empty:30' ELSE '' END AS codes FROM d"""
+
 KINDS_SQL = f"SELECT doc_id::VARCHAR AS payload_id, {sql_case('doc_id', [sql_text(w.kind) for w in WRAPS])} AS kind FROM documents"
 
 
