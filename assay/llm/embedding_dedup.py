@@ -25,8 +25,9 @@ many links it has there and the smallest vector that it reaches there, never its
 
 Defined cases: vectors or labels that are null, zero vectors, and vectors with null or
 non-finite components link with nothing; vectors of another dimension than the label's
-others are compared only with their like; repeated ids count as vectors of their own in
-link counts; extra columns are ignored.
+others are compared only with their like; repeated and null ids are vectors of their own
+and link like all others; a component's id is the smallest that is not null, null if all
+are, and a null id is never the kept one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,10 +134,23 @@ def fit_caps(members: int, dim: int, cosine: float = COSINE, recall: float = REC
 def distinct_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(label, vec, vec_id, n): usable vectors, equal ones as one row with the smallest id and their number."""
     has_columns(rows, key, vector, label)
+    return rows.where(usable(vector, label)).groupBy(F.col(label).alias("label"), plain_numbers(vector).alias("vec")).agg(F.min(key).alias("vec_id"), F.count(F.lit(1)).alias("n"))
+
+
+def usable(vector: str, label: str) -> Column:
+    """Whether a row can link with anything."""
     vec = F.col(vector).cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col(label).isNotNull() & F.col(vector).isNotNull() & fine & F.exists(vec, lambda x: x != 0)
-    return rows.where(usable).groupBy(F.col(label).alias("label"), F.transform(vec, lambda x: x + 0.0).alias("vec")).agg(F.min(key).alias("vec_id"), F.count(F.lit(1)).alias("n"))
+    return F.coalesce(F.col(label).isNotNull() & F.col(vector).isNotNull() & fine & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def plain_numbers(vector: str) -> Column:
+    return F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)  # -0.0 is 0.0
+
+
+def mark_of(vec: Column) -> list[Column]:
+    """128 bits that tell vectors apart, so that rows find theirs again without being sent whole."""
+    return [F.xxhash64(vec, F.size(vec)), F.xxhash64(F.size(vec), F.reverse(vec))]
 
 
 def fitted(vectors: DataFrame, cosine: float = COSINE) -> dict[int, Caps]:
@@ -253,15 +267,21 @@ def _frames(found: list[tuple]) -> Iterator[pd.DataFrame]:
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    vectors = materialize(distinct_vectors(rows, key, vector, label))
+    # numbers of their own tell distinct vectors apart: ids may be null or repeated
+    vectors = materialize(distinct_vectors(rows, key, vector, label).withColumn("number", F.monotonically_increasing_id()))
+    inner = vectors.select("label", "vec", F.col("number").alias("vec_id"), "n")
     single = rows.schema[vector].dataType == T.ArrayType(T.FloatType(), rows.schema[vector].dataType.containsNull)
     numbers = "<f4" if single else "<f8"  # the numbers as they are
-    partial = materialize(compared(tiled(materialize(coded(vectors, fitted(vectors, cosine), numbers)), tile), cosine, numbers))
+    partial = materialize(compared(tiled(materialize(coded(inner, fitted(inner, cosine), numbers)), tile), cosine, numbers))
     roots = components(partial.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
-    links = partial.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    marked = vectors.join(links, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
-    marked = marked.select("label", "vec", F.coalesce("links", F.lit(0)).alias("_links"), "n", F.coalesce("root", "vec_id").alias("_root"))
-    own = F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)
-    joined = rows.select(F.col(key).alias("vec_id"), F.col(label).alias("_label"), own.alias("_vec")).join(marked, (F.col("_label") == F.col("label")) & (F.col("_vec") == F.col("vec")), "left")
-    n_links = F.coalesce(F.col("_links") + F.col("n") - 1, F.lit(0)).cast("long")
-    return joined.select("vec_id", n_links.alias("n_links"), F.coalesce("_root", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    links = partial.groupBy(F.col("vec_id").alias("number")).agg(F.sum("links").alias("links"))
+    marks = [m.alias(f"_m{i}") for i, m in enumerate(mark_of(F.col("vec")))]
+    marked = vectors.select(F.col("label").alias("_label"), *marks, "number", "vec_id", "n").join(links, "number", "left").join(roots, F.col("number") == F.col("node"), "left")
+    marked = materialize(marked.select("_label", "_m0", "_m1", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("root", "number").alias("_root")))
+    least = marked.groupBy("_root").agg(F.min("vec_id").alias("_least"))
+    told = materialize(marked.join(least, "_root").select("_label", "_m0", "_m1", "_links", "_least", F.lit(True).alias("_told")))
+    own = [F.when(usable(vector, label), m).alias(f"_m{i}") for i, m in enumerate(mark_of(plain_numbers(vector)))]
+    joined = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("_label"), *own).join(told, ["_label", "_m0", "_m1"], "left")
+    component = F.when(F.col("_told"), F.col("_least")).otherwise(F.col("vec_id")).cast("long")
+    found = joined.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -6,15 +6,14 @@ and derives the digest columns from the operator's output.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.durable import folder
 from assay.functions.ship import ship
 from assay.llm import embedding_dedup, embedding_whitening, flac, language_id, line_dedup, packing, secrets, sentencepiece_unigram, sharding, simhash, tokenizer_alignment, toxicity, warc
-from assay.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +35,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    ledger = secrets.Ledger(spark, f"{shared_dir(spark).rstrip('/')}/assay-ledger-{uuid.uuid4().hex}")
+    ledger = secrets.Ledger(spark, folder(spark, "ledger"))
     ledger.scan(versions.where(secrets.address() < "8"))  # a history that has grown: half of the blobs were there before
     ledger.scan(versions)
     found = ledger.findings(versions)

@@ -126,8 +126,13 @@ class Ledger:
         scan_new(versions, self.rows(), content, rules).write.mode("append").partitionBy("rules").parquet(self.path)
 
     def findings(self, versions: DataFrame, path: str = "path", content: str = "content", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(path, blob, spans) for every row of versions, scanned by whatever run."""
-        return join_paths(versions, self.rows(), path, content, rules)
+        """(path, blob, spans) for every row of versions, scanned by whatever run.
+
+        Runs at the same time may have scanned the same blob: it counts once.  What is
+        joined is written, so that a blob with very many paths is split by rows.
+        """
+        once = materialize(self.rows().where(F.col("rules") == rules_version(rules)).dropDuplicates(["blob"]))
+        return join_paths(versions, once, path, content, rules)
 
 
 def findings(paths: DataFrame) -> DataFrame:

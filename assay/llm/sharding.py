@@ -1,9 +1,11 @@
 """Proportional stratified interleaving into shards, in DataFrame operations only.
 
 Within each source the rows are put in a seeded-shuffled order; a row of rank r of n has
-the fractional rank (r + 1/2) / n.  All rows in the order of fractional rank carry every
-source at its share of the whole in every stretch, so that equal cuts of that order are
-shards with the mixture of the whole.  Shard sizes differ by one row at most.
+the fractional rank (r + u) / n, where u is a number from 0 to 1 that the seed draws for
+the source.  All rows in the order of fractional rank carry every source at its share of
+the whole in every stretch, and sources of few rows, which no stretch can have a share of,
+are spread evenly together; so equal cuts of that order are shards with the mixture of the
+whole.  Shard sizes differ by one row at most.
 
 No window spans a source or the whole: ranks are taken in cells whose number grows with
 the rows, and cell offsets come from counts.  Rows that are repeated more often than a
@@ -37,6 +39,12 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.col(source).alias("source"))
 
 
+def phase(seed: str) -> Column:
+    """Where in its stretches a source has its rows, from 0 to 1; 52 bits of a digest."""
+    named = F.concat_ws(":", F.lit(seed), F.when(F.col("source").isNull(), "null").otherwise("of"), F.col("source").cast("string"))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def draw(seed: str) -> Column:
     """The place of a row in the shuffle, as 32 hex digits; _copy tells very often repeated rows apart."""
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id", "size", "text_crc32", "_copy")]).cast("binary"))
@@ -61,7 +69,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
     shuffled = materialize(_numbered(rows).withColumn("_shuffle", draw(seed)).drop("_copy"))
     cell = F.floor(F.conv(F.substring("_shuffle", 1, 8), 16, 10).cast("double") / 2**32 * cells)  # in the order of the draw
     ranked = group_rank(shuffled, "source", ["_shuffle", "doc_id", "text_crc32"], cells, "_rank", cell)
-    placed = ranked.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_rank_of")).withColumn("_band", F.least(F.floor(F.col("_at") * cells), F.lit(cells - 1)).cast("int"))
+    placed = ranked.withColumn("_at", (F.col("_rank") + phase(seed)) / F.col("_rank_of")).withColumn("_band", F.least(F.floor(F.col("_at") * cells), F.lit(cells - 1)).cast("int"))
     placed = materialize(placed.drop("_rank", "_rank_of"))
     bands = placed.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
     before = bands.select("_band", (F.sum("_n").over(Window.orderBy("_band")) - F.col("_n")).alias("_before"))

@@ -61,6 +61,27 @@ def test_query_is_nearly_all_pairs_and_links_nothing_else(spark, at):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_repeated_and_null_ids_are_vectors_of_their_own(spark):
+    """Every row by comparing it with all others."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((4, 32))
+    near = [(b + 0.02 * rng.standard_normal(32)).tolist() for b in base for _ in range(4)]
+    ids = [1, 1, 2, None] + [None, None, None, None] + [9, 8, 8, 7] + [None, 20, 21, 20]
+    rows = list(zip(ids, near, [0] * 16, strict=True)) + [(1, near[0], 0), (None, near[4], 0), (5, near[0], 1), (5, near[0], None), (6, [0.0] * 32, 0), (None, [None] + near[0][1:], 0), (30, near[0][1:], 0), (31, near[0][1:] + [None], 0), (32, [-0.0 if x == 0 else x for x in near[8]], 0)]
+    good = [lab is not None and all(x is not None for x in v) and any(v) for _, v, lab in rows]
+    unit = [np.array(v) / np.linalg.norm(v) if g else None for (_, v, _), g in zip(rows, good, strict=True)]
+    linked = lambda i, j: i != j and good[i] and good[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and unit[i] @ unit[j] >= 0.93
+    reach = [{i} | {j for j in range(len(rows)) if linked(i, j)} for i in range(len(rows))]
+    for _ in rows:
+        reach = [set().union(*(reach[j] for j in own)) for own in reach]
+    want = []
+    for i, (key, _, _) in enumerate(rows):
+        least = min((rows[j][0] for j in reach[i] if rows[j][0] is not None), default=None)
+        want.append((key, sum(linked(i, j) for j in range(len(rows))), least, key is not None and key == least))
+    got = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect()), key=str) == sorted(want, key=str)
+
+
 def test_small_tiles_find_the_same(spark, at):
     df = spark.read.parquet(f"{at}/embeddings.parquet")
     read = lambda tile: sorted(map(tuple, ed.near_duplicates(df, tile=tile).collect()))

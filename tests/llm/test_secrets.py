@@ -89,3 +89,16 @@ def test_plan_has_no_python_and_empty_tables_work(spark, sf_dir, empty_dir):
     plan = op2_secret_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert op2_secret_scan(spark, empty_dir).count() == 0
+
+
+def test_runs_at_the_same_time_count_once(spark, tmp_path):
+    """Two runs that both began before the other had ended: each blob is in the ledger twice, and found once."""
+    versions = spark.createDataFrame([("a", "token=abcdefgh"), ("b", "token=abcdefgh"), ("c", None)], "path string, content string")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    late = spark.createDataFrame(secrets.scan_new(versions, ledger.rows()).collect(), secrets.LEDGER)
+    ledger.scan(versions)
+    late.write.mode("append").partitionBy("rules").parquet(ledger.path)
+    assert ledger.rows().count() == 4
+    assert sorted((r["path"], len(r["spans"])) for r in ledger.findings(versions).collect()) == [("a", 1), ("b", 1), ("c", 0)]
+    ledger.scan(versions)
+    assert ledger.rows().count() == 4

@@ -35,8 +35,9 @@ def test_places_are_those_of_a_plain_interleaving(spark, sf_dir, table):
         by_source[r[3]].append(r)
     placed = []
     for source, own in by_source.items():
+        u = int(hashlib.md5(f"{sharding.SEED}:{'null' if source is None else f'of:{source}'}".encode()).hexdigest()[:13], 16) / 2**52
         for i, r in enumerate(sorted(own, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))):
-            placed.append(((i + 0.5) / len(own), source is not None, source or "", r[0], r[1] is not None, r[1] or 0, r[2]))
+            placed.append(((i + u) / len(own), source is not None, source or "", r[0], r[1] is not None, r[1] or 0, r[2]))
     n = len(placed)
     want, first = [], {}
     for p, (*_, has_key, key, checksum) in enumerate(sorted(placed)):
@@ -73,6 +74,17 @@ def test_every_stretch_carries_each_source_at_its_share(spark, monkeypatch):
         assert all(sorted(x) == list(range(600)) for x in slots.values())
 
 
+def test_many_small_sources_are_spread_over_all_shards(spark, monkeypatch):
+    """2,000 sources of one row and one of 2,000: each shard has its share of both, and no band holds them all."""
+    rows = spark.range(4_000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "CASE WHEN id % 2 = 0 THEN 'large' ELSE concat('host', id) END AS source")
+    monkeypatch.setattr(sharding, "spread", lambda n: 8)
+    described = sharding.describe(rows)
+    mix = Counter((r["shard"], r["source"] == "large") for r in sharding.interleave(described, 10).collect())
+    assert all(abs(mix[s, False] - 200) <= 3 * 13.5 and mix[s, True] == 400 - mix[s, False] for s in range(10))
+    bands = Counter(int(r["at"] * 8) for r in described.where("source != 'large'").select(sharding.phase(sharding.SEED).alias("at")).collect())
+    assert max(bands.values()) < 2 * 250
+
+
 def test_ranks_do_not_depend_on_cells(spark):
     rows = spark.range(500).selectExpr("id", "CASE WHEN id < 400 THEN 'a' WHEN id < 450 THEN 'b' END AS g")
     for cells in (1, 7):
