@@ -8,6 +8,8 @@ the profile, or the whole profile length where the profile lacks it.
 Grams are taken within words: letters are lower-cased, every run of other characters
 is one word boundary, written as a space.  Ties of frequency are broken by code point.
 
+A long text is counted in pieces, so that memory does not follow its length.
+
 Defined cases: a text that is null or has no letter is `und` with score 0; equal
 distances go to the language that sorts first; with no profiles all is `und`; extra
 columns, repeated rows and null keys pass through untouched.
@@ -32,6 +34,8 @@ PROFILE_SIZE = 400
 ROWS_PER_LANGUAGE = 2_000
 #: Profiles are broadcast: a table with more values of lang than this is refused.
 MOST_LANGUAGES = 10_000
+#: Characters of a text that are counted together.
+PIECE = 1 << 20
 _EDGE = 1  # stands for a word boundary in gram codes; not a letter
 
 
@@ -41,16 +45,29 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Gram codes (21 bits a character) and their counts, by code."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    if not len(points):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    points = np.where(_letters()[points], points, _EDGE)
-    points = np.concatenate(([_EDGE], points, [_EDGE]))
-    points = points[np.concatenate(([True], (points[1:] != _EDGE) | (points[:-1] != _EDGE)))]
-    two = points[:-1] << 21 | points[1:]
-    three = (two[:-1] << 21 | points[2:])[points[1:-1] != _EDGE]
-    return np.unique(np.concatenate((points[points != _EDGE], two, three)), return_counts=True)
+    """Gram codes (21 bits a character) and their counts, by code; of a long text piece by piece."""
+    text = text.lower()  # as a whole: how a sigma is written depends on what follows
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    before = np.array([_EDGE])  # the last two characters of the pieces so far, edges in a row as one
+    for i in range(0, len(text), PIECE):
+        points = np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        points = np.where(_letters()[points], points, _EDGE)
+        if i + PIECE >= len(text):
+            points = np.append(points, _EDGE)
+        first = len(before)
+        points = np.concatenate((before, points))
+        points = points[np.concatenate((np.ones(first, bool), (points[first:] != _EDGE) | (points[first - 1 : -1] != _EDGE)))]
+        two = points[:-1] << 21 | points[1:]
+        three = (two[:-1] << 21 | points[2:])[points[1:-1] != _EDGE]
+        if first == 2:  # the first of both was counted with the piece before
+            two = two[1:]
+        one = points[first:]
+        found, n = np.unique(np.concatenate((one[one != _EDGE], two, three)), return_counts=True)
+        if len(codes):
+            found, at = np.unique(np.concatenate((codes, found)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((counts, n)), len(found)).astype(np.int64)
+        codes, counts, before = found, n, points[-2:]
+    return codes, counts
 
 
 def gram_text(code: int) -> str:

@@ -15,6 +15,9 @@ Words recur.  Pieces never go on past a marker that follows another character (t
 checked when a vocabulary is read), so segments between markers are solved by
 themselves, once for each worker process, and remembered up to a bound.  New segments of
 a batch are solved side by side: one step follows the trie from one position of all.
+Long stretches without a marker are cut between characters that stand side by side in no
+piece, so that they too are solved side by side; only a run of which all neighbours are
+part of some piece, one letter over and over, is followed position by position.
 
 Defined cases: a null text is an empty one; an empty text has no ids; invalid ids raise
 KeyError; bytes that are no UTF-8 decode to U+FFFD; extra columns pass through.
@@ -39,6 +42,8 @@ MARK = "▁"
 FALLBACK = 10.0
 #: Distinct segments whose ids a worker process remembers before it starts anew.
 REMEMBERED = 400_000
+#: Characters of a segment from which on it is cut wherever no piece has both neighbours, and not remembered.
+LONG = 64
 
 
 @dataclass(frozen=True)
@@ -95,6 +100,7 @@ class Vocabulary:
         self.longest = max(map(len, keys), default=1)
         self.breaks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.lines = not any("\n" in p for p in pieces)
+        self.beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.bytes_of = [p.replace(MARK, " ").encode() for p in pieces]
         for byte, i in byte_ids.items():
             self.bytes_of[i] = bytes([byte])
@@ -221,8 +227,15 @@ class Encoder:
                         marks = 0
                 if marks:
                     out.append(MARK * marks)
+        if any(len(s) > LONG for s in out):
+            return [x for s in out for x in (self._cut(s) if len(s) > LONG else (s,))]
         return out
 
+    def _cut(self, segment: str) -> list[str]:
+        """A long segment in parts: characters that stand side by side in no piece are never in one."""
+        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.vocabulary.beside]
+        return [segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian int32."""
         for i in range(0, len(texts), 256):
@@ -239,6 +252,9 @@ class Encoder:
             self.known.update((s, np.array(ids, "<i4").tobytes()) for s, ids in zip(listed, solved, strict=True))
             self.known[""] = self.literal
             yield from (b"".join(map(self.known.__getitem__, c)) for c in cut)
+            for s in listed:
+                if len(s) > LONG:
+                    del self.known[s]
 
 
 @functools.cache

@@ -74,3 +74,23 @@ def test_a_language_for_each_row_is_refused(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 10)
     with pytest.raises(ValueError, match="different languages"):
         language_id.build_profiles(rows)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_pieces_of_a_text_count_as_the_whole(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    for text in ("", "a", " ", "ab", "12 ab  c!!d ", "Ünï ΌΔΟΣ ΣΑΣ漢字 x", "a" * 9, "... a ...", "\U0001f600e\U0001f600", "the cat sat. " * 5):
+        codes, counts = language_id.gram_counts(text)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {order(g): n for g, n in grams(text).items()}
+        assert codes.tolist() == sorted(codes.tolist())
+
+
+def test_memory_does_not_follow_the_length_of_a_text():
+    import tracemalloc
+
+    text = "the cat sat on the mat. " * 500_000  # 12 MB
+    tracemalloc.start()
+    language_id.gram_counts(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 << 20

@@ -91,3 +91,23 @@ def test_query_digests_are_those_of_the_ids(spark, sf_dir, docs):
 def test_decoding_bytes_and_invalid_ids(spark, vocabulary):
     assert vocabulary.decode([vocabulary.byte_ids[0xFF]]) == "�"
     assert vocabulary.decode([]) == ""
+
+
+def test_long_runs_without_spaces(vocabulary):
+    """Base64, signs of many scripts and one letter over and over: the best sum, and time by the length."""
+    import time
+
+    import numpy as np
+
+    rng, encoder = random.Random(8), sp.Encoder(vocabulary)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    base64, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "的一是不了人我在有他กขคงあいうえお漢字"
+    for text in (draw(base64, 300), draw(mixed, 300), "q" * 150, draw(base64, 90) + " " + draw(mixed, 90)):
+        (ids,) = encoder.encode([text])
+        found = np.frombuffer(ids, "<i4").tolist()
+        assert math.isclose(score(vocabulary, found), plain(vocabulary, text), rel_tol=1e-9) and vocabulary.decode(found) == text
+    start = time.monotonic()
+    text = draw(base64, 1_000_000)
+    (ids,) = encoder.encode([text])
+    assert vocabulary.decode(np.frombuffer(ids, "<i4").tolist()) == text and time.monotonic() - start < 60
+    assert not any(len(s) > sp.LONG for s in encoder.known)
