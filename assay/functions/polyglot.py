@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -19,6 +18,26 @@ class Marker(NamedTuple):
     severity: int
     first: int = 1
 
+    @property
+    def body(self) -> str:
+        """The pattern as a part of a larger one."""
+        return f"(?i:{self.pattern[4:]})" if self.pattern.startswith("(?i)") else f"(?:{self.pattern})"
+
+    @property
+    def lead(self) -> str:
+        """The characters that a match may begin with, for a character class."""
+        plain = self.pattern.removeprefix("(?i)")
+        sign = chr(int(plain[2:4], 16)) if plain.startswith("\\x") else plain[1] if plain[0] == "\\" else plain[0]
+        both = {sign, sign.lower(), sign.upper()} if plain != self.pattern else {sign}
+        return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(both) if ord(c) < 256)
+
+
+def byte_marker(name: str, content: bytes, severity: int, first: int = 0) -> Marker:
+    """A marker of one's own: these bytes, from the offset `first` on."""
+    if not content:
+        raise ValueError("a marker needs bytes")
+    return Marker(name, "".join(f"\\x{b:02x}" for b in content), severity, first)
+
 
 # Markers (two share the name html in the source of these values, where the second counts), and those for each category.
 MARKERS = {
@@ -56,13 +75,27 @@ PNG_END, JPEG_END, PDF_END = "IEND\xae\x42\x60\x82", "\xff\xd9", "%%EOF"
 TAIL = 64 * 1024
 
 
-def offset_of(text: Column, marker: Marker) -> Column:
-    """The 0-based offset of the first match that counts, or null."""
-    if marker.first:  # these are plain byte strings
-        at = F.locate(re.sub(r"\\x([0-9a-f]{2})", lambda m: chr(int(m[1], 16)), marker.pattern), text, marker.first + 1)
-    else:
-        at = F.regexp_instr(text, F.lit(marker.pattern))
-    return F.when(at > 0, at - 1)
+def offsets(text: Column, markers: list[Marker]) -> Column:
+    """array<int>: of each marker the 0-based offset of its first match that counts, or null; text has characters up to U+00FF only.
+
+    One pass finds the places where any marker begins and puts a sign there that text
+    cannot have; what stands between these places is then gone through from the end, and
+    what stands at each, up to the longest marker, is held against the markers.  Texts
+    without a marker, nearly all, are not looked at again.
+    """
+    sign, longest = chr(0x100), max(len(m.pattern) for m in markers)  # no match is longer than its pattern
+    anywhere = f"(?=[{''.join(m.lead for m in markers)}])(?={'|'.join(m.body for m in markers)})"
+    pieces = F.split(F.regexp_replace(text, F.lit(anywhere), F.lit(sign)), sign, -1)
+    none = F.array(*[F.lit(None).cast("int") for _ in markers])
+
+    def back(state: Column, piece: Column) -> Column:
+        here = F.struct((state["at"] - F.length(piece)).alias("at"), F.substring(F.concat(piece, state["tail"]), 1, longest).alias("tail"), state["found"].alias("found"))
+        hit = lambda h, i, m: F.when(h["tail"].rlike(f"^{m.body}") & (h["at"] >= m.first), h["at"]).otherwise(h["found"][i])
+        return let(here, lambda h: F.struct(h["at"].alias("at"), h["tail"].alias("tail"), F.array(*[hit(h, i, m) for i, m in enumerate(markers)]).alias("found")))
+
+    start = F.struct(F.length(text).alias("at"), F.lit("").alias("tail"), none.alias("found"))
+    walked = lambda p: F.aggregate(F.reverse(F.slice(p, 2, F.size(p) - 1)), start, back, lambda s: s["found"])
+    return let(pieces, lambda p: F.when(F.size(p) > 1, walked(p)).otherwise(none))
 
 
 def scanned(detected: Column) -> Column:
@@ -72,32 +105,38 @@ def scanned(detected: Column) -> Column:
     return ~(skipped | mime.startswith("application/vnd.openxmlformats") | mime.startswith("application/vnd.oasis"))
 
 
-def embedded(content: Column, detected: Column, limit: int = 1 << 20, markers: list[str] | None = None) -> Column:
-    """array<finding> of markers in the first `limit` bytes; markers: names to look for in place of the category's."""
+def embedded(content: Column, detected: Column, limit: int = 1 << 20, markers: list[str | Marker] | None = None) -> Column:
+    """array<finding> of markers in the first `limit` bytes; markers: names, or markers of one's own, to look for in place of the category's."""
     mime, description = detected["mime"], detected["description"]
+    sought = list(MARKERS.values()) if markers is None else [MARKERS[m] if isinstance(m, str) else m for m in markers]
 
-    def one(text: Column, name: str) -> Column:
-        marker, own = MARKERS[name], {"pdf": "application/pdf", "svg": "image/svg+xml"}.get(name, "text/html" if name.startswith("html") else "")
+    def one(found: Column, number: int, marker: Marker) -> Column:
+        name = marker.name
+        own = {"pdf": "application/pdf", "svg": "image/svg+xml"}.get(name, "text/html" if name.startswith("html") else "")
         told = lambda at: finding(at.isNotNull(), f"polyglot.embedded_{name}", marker.severity, F.format_string(f"{name.upper().replace('_', ' ')} inside %s at offset %d", description, at), {"offset": at, "marker": F.lit(name)})
-        return let(F.when(mime != own, offset_of(text, marker)), told)
+        return let(F.when(mime != own, found[number]), told)
 
-    def in_order(text: Column) -> Column:
+    def in_order(found: Column) -> Column:
+        each = [one(found, i, m) for i, m in enumerate(sought)]
         if markers is not None:
-            return findings(*[one(text, n) for n in markers])
-        made = {n: one(text, n) for n in MARKERS}
+            return findings(*each)
+        made = dict(zip(MARKERS, each, strict=True))
         groups: dict[tuple, list[str]] = {}
         for category, names in CATEGORY_MARKERS.items():
             groups.setdefault(tuple(names), []).append(category)
         out = None
         for names, categories in groups.items():
-            found = findings(*[made[n] for n in names])
+            listed = findings(*[made[n] for n in names])
             if "unknown" in categories:  # and any category that has no list
-                return out.otherwise(found)
+                return out.otherwise(listed)
             here = detected["category"].isin(*categories)
-            out = F.when(here, found) if out is None else out.when(here, found)
+            out = F.when(here, listed) if out is None else out.when(here, listed)
         return out
 
-    return F.when(scanned(detected), let(latin(F.substring(content, 1, limit)), in_order)).otherwise(no_findings())
+    if not sought:
+        return no_findings()
+    places = let(latin(F.substring(content, 1, limit)), lambda text: offsets(text, sought))
+    return F.when(scanned(detected), let(places, in_order)).otherwise(no_findings())
 
 
 def _after_last(tail: Column, mark: str) -> Column:

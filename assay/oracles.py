@@ -6,7 +6,7 @@ from assay import derived, wrapped
 from assay.functions import names, paths, polyglot, registry, urls
 from assay.functions.binary import BRANDS, DIB_SIZES
 from assay.functions.text import HTML_TAGS
-from assay.queries import RULES
+from assay.queries import OWN_MARKERS, RULES
 
 
 def _list(values) -> str:
@@ -288,6 +288,13 @@ _PAGES = f"""
     l AS (SELECT k, list_filter(string_split(codes, ','), lambda x: x <> '' AND x <> 'filename.browser_active:20') AS each FROM f),
     v AS (SELECT *, array_to_string(each, ',') AS codes, list_filter(each, lambda x: string_split(x, ':')[2]::INT >= 20) AS errors FROM l)"""
 
+
+def _first_at(name: str, content: bytes, first: int) -> str:
+    """The byte offset of the first place of a text, from its first character or from the one after."""
+    sought = " || ".join(f"chr({b})" for b in content)
+    return f"CASE WHEN strpos(substr(t, {first + 1}), {sought}) > 0 THEN octet_length(encode(substr(t, 1, strpos(substr(t, {first + 1}), {sought}) - 1 + {first}))) END::BIGINT AS at_{name}"
+
+
 ORACLES: dict[str, str] = {
     "filename_findings": f"WITH {_CUT} SELECT k, {_CODES} AS codes FROM d",
     "filename_rollup": f"WITH {_CUT}, x AS (SELECT unnest(string_split({_CODES}, ',')) AS c FROM d) SELECT string_split(c, ':')[1] AS code, string_split(c, ':')[2]::INT AS severity, count(*) AS n FROM x WHERE c <> '' GROUP BY ALL",
@@ -313,6 +320,7 @@ ORACLES: dict[str, str] = {
     "markup_prologs": f"WITH t AS ({derived.TEXTS_SQL}), x AS (SELECT k, regexp_extract(body, '{_PROLOG}', 0) AS p FROM t) SELECT k, nullif(lower(regexp_extract(p, '(?i)<!doctype\\s+([A-Za-z_][A-Za-z0-9_.\\-:]*)', 1)), '') AS doctype, contains(p, '<?xml') AS declared FROM x",
     "polyglot_markers": _markers(),
     "trailing_data": _trailing(),
+    "own_markers": "WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents) SELECT k, " + ", ".join(_first_at(name, content, first) for name, (content, first) in OWN_MARKERS.items()) + " FROM d",
     "url_classes": f"WITH u AS ({derived.URLS_SQL}), v AS (SELECT k, {_plain_url('url')} AS v FROM u) SELECT k, {_url_class('v')} AS class FROM v",
     "page_link_classes": f"WITH u AS (SELECT unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS url FROM pages), v AS (SELECT {_plain_url('url')} AS v FROM u) SELECT {_url_class('v')} AS class, count(*) AS n FROM v GROUP BY 1",
     "css_verdicts": _CSS,

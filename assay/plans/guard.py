@@ -2,8 +2,9 @@
 
 A payload is a row of payload_id, filename, content_type, size and content.  All checks
 that need no unpacking are one projection.  SVG files and archives branch off to their
-relations and come back by payload_id; policies that turn both off, or `simple` scans,
-have no join, no shuffle and no Python.
+relations and come back by a row number of their own; policies that turn both off, or
+`simple` scans, have no shuffle and no Python.  Files may be located (sources.ranged):
+read by position, and again by their path where they are taken apart.
 """
 
 from __future__ import annotations

@@ -37,4 +37,4 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_others_run(spark, name):
-    assert QUERIES[name](spark, str(TABLES)).count() > 0
+    assert len(QUERIES[name](spark, str(TABLES)).collect()) > 0  # all columns, not only their number
