@@ -204,7 +204,7 @@ def scan(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
     if policy.inspect_archives:
         packed_up = F.col("archive_kind").isNotNull() & (F.col("size") > 0)
         packed = rows.where(packed_up).select(F.col("_row").alias("payload_id"), "path" if located else "content", F.col("archive_kind").alias("archive"))
-        joined = joined.join(inspect_archives(packed, policy.archive_limits, path="path" if located else None).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("archive_findings", _reported(F.col("archive_findings"), packed_up))
+        joined = joined.join(inspect_archives(packed, policy.archive_limits, **({"path": "path"} if located else {})).withColumnRenamed("payload_id", "_row"), "_row", "left").withColumn("archive_findings", _reported(F.col("archive_findings"), packed_up))
     else:
         joined = joined.withColumn("archive", F.lit(None).cast("string")).withColumn("archive_findings", F.lit(None))
     parts = [F.col("_first"), *[F.coalesce(F.col(c).cast(f"array<{FINDING}>"), no_findings()) for c in ("svg_findings", "archive_findings")], F.col("_last")]
