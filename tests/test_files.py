@@ -193,18 +193,23 @@ def stream_once(spark, source, out, checkpoint) -> None:
 
 def test_streams_see_files_without_bytes_and_renamed_ones(spark, drop, tmp_path_factory):
     out = tmp_path_factory.mktemp("out")
-    source = lambda: drops.stream_located(spark, f"file://{drop}")
-    stream_once(spark, source(), out, "checkpoint")
+
+    def once() -> None:
+        found = drops.stream_located(spark, f"file://{drop}").withColumn("codes", F.transform(guard.size_findings(F.col("size"), F.col("oversized"), Policy()), lambda f: f["code"]))
+        write = lambda batch, number: batch.select("filename", "codes").write.mode("overwrite").parquet(f"{out}/results/batch={number}")
+        found.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    once()
     late = tmp_path_factory.mktemp("elsewhere") / "renamed.txt"
     late.write_bytes(b"")
-    stream_once(spark, source(), out, "checkpoint")  # nothing new
+    once()  # nothing new
     old = datetime.datetime.now().timestamp() - 600
     os.utime(late, (old, old))
     late.rename(drop / "c" / "renamed.txt")
     (drop / "a/notes.txt").write_bytes(b"written to again\n")
-    stream_once(spark, source(), out, "checkpoint")
+    once()
     rows = spark.read.parquet(f"{out}/results").collect()
-    seen = sorted((r["filename"], [f["code"] for f in r["findings"]]) for r in rows)
+    seen = sorted((r["filename"], r["codes"]) for r in rows)
     names = [n for n, _ in seen]
     assert sorted(names) == sorted([n.rsplit("/", 1)[1] for n in SEEN] + ["renamed.txt", "notes.txt"])
     assert dict(seen)["empty.txt"] == dict(seen)["renamed.txt"] and "size.empty" in dict(seen)["empty.txt"]
@@ -218,11 +223,11 @@ def written_tables(spark) -> set[str]:
 
 def test_streams_leave_no_table_behind(spark, tmp_path, tmp_path_factory):
     out, before = tmp_path_factory.mktemp("out"), written_tables(spark)
-    for i in range(3):
+    for i in range(2):
         (tmp_path / f"{i}.zip").write_bytes(zipped(("x", b"1")))
         (tmp_path / f"{i}.svg").write_bytes(drawn(b"1"))
         stream_once(spark, drops.stream_located(spark, f"file://{tmp_path}"), out, "checkpoint")
-    assert spark.read.parquet(f"{out}/results").count() == 6
+    assert spark.read.parquet(f"{out}/results").count() == 4
     assert written_tables(spark) == before
 
 
