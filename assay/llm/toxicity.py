@@ -15,8 +15,8 @@ rows and, at the end, to set the scale of the scores; the label model does not s
 teach; everything else covers all rows.
 
 Defined cases: null and empty texts have no feature and get the score of a text without
-any sign (the bias); without labels only the written voters speak; rows with several
-labels teach once for each; extra columns pass through.
+any sign (the bias); without labels only the written voters speak; equal texts teach
+once, as toxic if any of their labels says so; extra columns pass through.
 """
 
 from __future__ import annotations
