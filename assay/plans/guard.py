@@ -10,11 +10,11 @@ read by position, and again by their path where they are taken apart.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assay.functions.detect import detect, is_unknown, preferred_extension
 from assay.functions.durable import durable
@@ -128,9 +128,14 @@ def highest_severity(found: Column) -> Column:
     return F.array_max(F.transform(F.filter(found, lambda f: ~f["remediated"]), lambda f: f["severity"]))
 
 
-@F.pandas_udf(T.BinaryType())
-def _gunzipped(contents: pd.Series, caps: pd.Series) -> pd.Series:
-    def whole(data: bytes | None, cap: int) -> bytes | None:
+#: Unpacked bytes that are handed on together.
+TOGETHER = 1 << 20
+
+
+def unpacked_batches(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """(payload_id, content) of gzip files, unpacked, TOGETHER bytes at a time; null where that gives more than cap bytes, or nothing."""
+
+    def whole(data: bytes | None) -> bytes | None:
         if data is None:
             return None
         try:
@@ -138,7 +143,28 @@ def _gunzipped(contents: pd.Series, caps: pd.Series) -> pd.Series:
         except (Overflow, zlib.error, OSError, EOFError):
             return None
 
-    return pd.Series([whole(d, c) for d, c in zip(contents, caps, strict=True)], dtype=object)
+    def batch_of(rows: list[tuple[str, bytes | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["payload_id", "content"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for payload, data in zip(*batch.columns, strict=True):
+            rows.append((payload.as_py(), whole(data.as_py())))
+            held += len(rows[-1][1] or b"")
+            if held >= TOGETHER:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def _gunzipped(packed: DataFrame, cap: int) -> DataFrame:
+    """Rows and not a function of a column, which would hold what a whole batch of files unpacks to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return unpacked_batches(batches, cap)
+
+    return packed.mapInArrow(run, "payload_id string, content binary")
 
 
 def checked(payloads: DataFrame, policy: Policy, containers: bool = True) -> DataFrame:
@@ -196,7 +222,8 @@ def scan(payloads: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
     drawings = rows.where(drawn)
     if located:
         drawings = with_content(drawings.select("_row", "path", "detected"), cap)
-    files = drawings.select(F.col("_row").alias("payload_id"), F.when(gzipped, _gunzipped(F.when(gzipped, F.col("content")), F.lit(cap))).when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
+    plain = drawings.where(~gzipped).select(F.col("_row").alias("payload_id"), F.when(F.octet_length("content") <= cap, F.col("content")).alias("content"))
+    files = plain.unionByName(_gunzipped(drawings.where(gzipped).select(F.col("_row").alias("payload_id"), "content"), cap))
     look = sanitize_svg if policy.sanitize_svg else scan_svg
     svg = look(files.where(F.col("content").isNotNull()), policy.svg_policy)
     too_large = files.where(F.col("content").isNull()).select("payload_id", findings(finding(F.lit(True), "svg.too_large", HIGH, f"SVG of over {cap} bytes")).alias("svg_findings"), F.lit(None).cast("binary").alias("sanitized"))
