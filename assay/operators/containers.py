@@ -1,7 +1,8 @@
 """What ZIP, OLE2 and gzip files hold, as far as their type needs it.
 
 The lists inside are read by small helpers over Arrow batches, for rows with the right
-magic only (other rows send null); telling types apart by the lists is an expression.
+magic only (other rows send null), one payload's bytes copied at a time; telling types
+apart by the lists is an expression.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,9 +68,10 @@ def _zip_list(content: bytes | Ranged) -> tuple[list[str], str | None]:
     return (names, mimetype) if names else local_names(content[:HEAD])
 
 
-@F.pandas_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("mimetype", T.StringType())]))
-def _zip_lists(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, None) if c is None else _zip_list(c) for c in contents], columns=["names", "mimetype"])
+@F.arrow_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("mimetype", T.StringType())]))
+def _zip_lists(contents: pa.Array) -> pa.Array:
+    found = [_zip_list(c.as_py()) if c.is_valid else (None, None) for c in contents]
+    return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.string())], ["names", "mimetype"])
 
 
 def zip_listing(content: Ranged, head: bytes) -> tuple[list[str], str | None] | None:
@@ -113,13 +115,13 @@ def ole_names(content: bytes | Ranged, most: int = 16) -> list[str]:
     return names
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _ole_lists(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: None if c is None else ole_names(c))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _ole_lists(contents: pa.Array) -> pa.Array:
+    return pa.array([ole_names(c.as_py()) if c.is_valid else None for c in contents], pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.BinaryType())
-def _inflated_start(heads: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _inflated_start(heads: pa.Array) -> pa.Array:
     def start(head: bytes | None) -> bytes | None:
         if head is None:
             return None
@@ -128,7 +130,7 @@ def _inflated_start(heads: pd.Series) -> pd.Series:
         except zlib.error:
             return None
 
-    return heads.map(start)
+    return pa.array([start(h.as_py()) for h in heads], pa.binary())
 
 
 def kind_of_names(names: Column, mimetype: Column) -> Column:

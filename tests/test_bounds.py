@@ -5,6 +5,7 @@ import gzip
 import pyarrow as pa
 
 from assay import wrapped
+from assay.operators import containers
 from assay.plans import guard
 
 
@@ -17,6 +18,16 @@ def test_files_are_built_a_bounded_number_of_bytes_at_a_time():
     assert rows == [{"payload_id": str(k), "filename": f"{k}.bin", "content": body} for k, body in enumerate(bodies)]
 
 
+def test_lists_inside_are_read_from_arrow_without_a_copy_of_the_batch():
+    files = [w.build(b"text") for w in wrapped.WRAPS]
+    zips = pa.array([f if f.startswith(b"PK") else None for f in files], pa.binary())
+    found = containers._zip_lists.func(zips)
+    assert isinstance(found, pa.Array) and [x["names"] for x in found.to_pylist()] == [None if not z.is_valid else containers._zip_list(z.as_py())[0] for z in zips]
+    ole = pa.array([wrapped.compound("Workbook", b"x"), None], pa.binary())
+    assert containers._ole_lists.func(ole).to_pylist() == [["Root Entry", "Workbook"], None]
+    assert containers._inflated_start.func(pa.array([gzip.compress(b"abc"), b"no gzip", None], pa.binary())).to_pylist() == [b"abc", None, None]
+
+
 def test_gzip_files_are_unpacked_a_bounded_number_of_bytes_at_a_time():
     files = [gzip.compress(bytes(500_000))] * 30 + [gzip.compress(bytes(900_000)), b"no gzip", None]
     batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(33)]), pa.array(files, pa.binary())], names=["payload_id", "content"])
