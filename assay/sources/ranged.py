@@ -22,8 +22,8 @@ from assay.operators.containers import ole_listing, zip_listing
 
 LOCATED = ("path", "tail", "listed", "streams")
 SCHEMA = "payload_id string, filename string, content_type string, size long, oversized boolean, content binary, path string, tail binary, listed struct<names:array<string>,mimetype:string>, streams array<string>"
-#: Bytes of parts that are handed on together.
-TOGETHER = 16 << 20
+#: Bytes of parts, and of names that are read, that are handed on together.
+TOGETHER = 1 << 20
 _ARROW = pa.schema([
     ("payload_id", pa.string()), ("filename", pa.string()), ("content_type", pa.string()), ("size", pa.int64()), ("oversized", pa.bool_()), ("content", pa.binary()), ("path", pa.string()), ("tail", pa.binary()),
     ("listed", pa.struct([("names", pa.list_(pa.string())), ("mimetype", pa.string())])), ("streams", pa.list_(pa.string())),
@@ -36,6 +36,22 @@ def spread_out(files: DataFrame, partitions: int | None = None) -> DataFrame:
     return files.repartition(partitions or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def located_batches(found: Iterator[dict | None]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA, TOGETHER bytes at a time; None gives no row."""
+    rows, held = [], 0
+    for row in found:
+        if row is None:
+            continue
+        rows.append(row)
+        names = (row.get("listed") or {}).get("names") or row.get("streams") or ()
+        held += len(row["content"]) + len(row.get("tail") or b"") + sum(map(len, names))
+        if held > TOGETHER:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
 def locate(files: DataFrame, head: int = 1 << 20, tail: int = TAIL, max_size: int | None = None, partitions: int | None = None) -> DataFrame:
     """Located payloads of files (path, size); a file that is gone by then gives no row, one over max_size is not read."""
     ship(files.sparkSession)
@@ -53,18 +69,8 @@ def locate(files: DataFrame, head: int = 1 << 20, tail: int = TAIL, max_size: in
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = one(path, size)
-                if row:
-                    rows.append(row)
-                    held += len(row["content"]) + len(row.get("tail") or b"")
-                if held > TOGETHER:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        listed = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        return located_batches(one(*x) for x in listed)
 
     return spread_out(files.select("path", "size"), partitions).mapInArrow(run, SCHEMA)
 

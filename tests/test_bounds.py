@@ -7,6 +7,7 @@ import pyarrow as pa
 from assay import wrapped
 from assay.operators import containers
 from assay.plans import guard
+from assay.sources import ranged
 
 
 def test_files_are_built_a_bounded_number_of_bytes_at_a_time():
@@ -36,3 +37,9 @@ def test_gzip_files_are_unpacked_a_bounded_number_of_bytes_at_a_time():
     rows = [r for b in out for r in b.to_pylist()]
     assert [r["payload_id"] for r in rows] == [str(i) for i in range(33)]
     assert [None if r["content"] is None else len(r["content"]) for r in rows] == [500_000] * 30 + [None] * 3
+
+
+def test_names_count_among_what_located_files_hold():
+    row = {"payload_id": "p", "path": "p", "filename": "p", "size": 1, "oversized": False, "content": b"", "listed": {"names": ["n" * 1000] * 500, "mimetype": None}}
+    out = list(ranged.located_batches(iter([row, None] * 20)))
+    assert sum(b.num_rows for b in out) == 20 and max(b.num_rows for b in out) <= 3
