@@ -5,7 +5,7 @@ import gzip
 import pyarrow as pa
 
 from assay import wrapped
-from assay.operators import containers
+from assay.operators import archive, containers
 from assay.plans import guard
 from assay.sources import ranged
 
@@ -39,6 +39,14 @@ def test_gzip_files_are_unpacked_a_bounded_number_of_bytes_at_a_time():
     assert [None if r["content"] is None else len(r["content"]) for r in rows] == [500_000] * 30 + [None] * 3
 
 
+def test_entries_of_many_archives_are_handed_on_together():
+    data = wrapped.zipped(("a", b"1"), ("b", b"2"))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1500)]), pa.array(["zip"] * 1500), pa.array([data] * 1500, pa.binary())], names=["k", "kind", "content"])
+    out = list(archive.entry_batches(iter([batch]), archive.ArchiveLimits(), False))
+    assert [b.num_rows for b in out] == [1002, 1002, 1002, 1002, 492]  # a container and two entries each, never cut
+    assert [(r["payload_id"], r["idx"]) for b in out for r in b.to_pylist()] == [(str(i), k) for i in range(1500) for k in (-1, 0, 1)]
+
+
 def test_names_count_among_what_located_files_hold():
     row = {"payload_id": "p", "path": "p", "filename": "p", "size": 1, "oversized": False, "content": b"", "listed": {"names": ["n" * 1000] * 500, "mimetype": None}}
     out = list(ranged.located_batches(iter([row, None] * 20)))
