@@ -3,10 +3,11 @@
 import gzip
 
 import pyarrow as pa
+from pyspark.util import PythonEvalType
 
 from assay import wrapped
 from assay.operators import archive, containers
-from assay.plans import guard
+from assay.plans import guard, sql
 from assay.sources import ranged
 
 
@@ -51,3 +52,7 @@ def test_names_count_among_what_located_files_hold():
     row = {"payload_id": "p", "path": "p", "filename": "p", "size": 1, "oversized": False, "content": b"", "listed": {"names": ["n" * 1000] * 500, "mimetype": None}}
     out = list(ranged.located_batches(iter([row, None] * 20)))
     assert sum(b.num_rows for b in out) == 20 and max(b.num_rows for b in out) <= 3
+
+
+def test_sql_functions_read_containers_from_arrow():
+    assert {sql.HELPERS[n].evalType for n in ("assay_zip_lists", "assay_ole_lists", "assay_inflated_start")} == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
