@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.binary import binary_kind
 from assay.functions.registry import HEAD, KINDS, UNKNOWN
+from assay.functions.ship import small_batches
 from assay.functions.text import head_text, left_trimmed, markup_prolog, text_kind
 
 DETECTED = "struct<mime:string,extensions:array<string>,description:string,category:string>"
@@ -37,6 +38,7 @@ def with_kind(payloads: DataFrame, content: str = "content", to: str = "kind", c
     if containers:
         from assay.operators.containers import gzip_kind, ole_kind, zip_kind
 
+        small_batches(payloads.sparkSession)
         payloads = payloads.withColumn("_zip", zip_kind(body, listed)).withColumn("_ole", ole_kind(body, streams)).withColumn("_gzip", gzip_kind(body))
         inside = {"zip_kind": F.col("_zip"), "ole_kind": F.col("_ole"), "gzip_kind": F.col("_gzip")}
     by_bytes = payloads.withColumn("_bytes", binary_kind(body, **inside)).drop("_zip", "_ole", "_gzip")

@@ -18,7 +18,7 @@ from assay.functions import names, paths, polyglot, urls
 from assay.functions.binary import binary_kind
 from assay.functions.detect import DETECTED, kind_struct
 from assay.functions.registry import HEAD
-from assay.functions.ship import ship
+from assay.functions.ship import ship, small_batches
 from assay.functions.text import head_text, left_trimmed, markup_prolog, text_kind
 from assay.functions.values import let
 from assay.operators import archive, containers, svg
@@ -116,9 +116,11 @@ def register(spark: SparkSession) -> list[str]:
     """Create temporary SQL functions from the expressions, and table functions over single files; returns their names.
 
     detect_type(content) is the struct that functions.detect gives a payload,
-    embedded_formats(content, detected) the findings about formats inside.
+    embedded_formats(content, detected) the findings about formats inside.  The session's batches
+    for Python are small from then on, unless it has a size of its own (functions.ship.small_batches).
     """
     ship(spark)
+    small_batches(spark)
     for name, helper in HELPERS.items():
         spark.udf.register(name, helper)
     for name, build in EXPRESSIONS.items():

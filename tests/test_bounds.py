@@ -3,9 +3,13 @@
 import gzip
 
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import PythonEvalType
 
 from assay import wrapped
+from assay.functions.detect import with_kind
+from assay.functions.ship import BATCH, TOGETHER
 from assay.operators import archive, containers
 from assay.plans import guard, sql
 from assay.sources import ranged
@@ -56,3 +60,28 @@ def test_names_count_among_what_located_files_hold():
 
 def test_sql_functions_read_containers_from_arrow():
     assert {sql.HELPERS[n].evalType for n in ("assay_zip_lists", "assay_ole_lists", "assay_inflated_start")} == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
+
+
+@F.arrow_udf(T.LongType())
+def _handed(contents: pa.Array) -> pa.Array:
+    return pa.array([contents.nbytes] * len(contents), pa.int64())
+
+
+def test_payloads_are_handed_to_sql_functions_a_few_bytes_at_a_time(spark):
+    session = spark.newSession()
+    sql.register(session)
+    session.udf.register("handed", _handed)
+    rows = session.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).cast("binary").alias("content"))
+    rows.createOrReplaceTempView("payloads")
+    assert session.sql("SELECT max(handed(content)) FROM payloads").first()[0] <= 1.25 * TOGETHER
+    seen = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert seen.agg(F.max("n")).first()[0] <= 1.25 * TOGETHER
+
+
+def test_detection_makes_batches_small_but_keeps_a_size_that_was_set(spark):
+    for given, kept in ((None, str(TOGETHER)), ("16m", "16m")):
+        session = spark.newSession()
+        if given:
+            session.conf.set(BATCH, given)
+        with_kind(session.createDataFrame([("p", bytearray(b"x"))], "payload_id string, content binary"))
+        assert session.conf.get(BATCH) == kept
